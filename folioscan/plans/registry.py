@@ -1,4 +1,645 @@
-"""The registered queries of the engine and their SQL."""
+"""The registered queries of the engine, each over whole tables, and their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from folioscan.functions import text as T
+from folioscan.operators import chunking, evaluation as E, grounding as G, hygiene, index as I, ingest, layout as L, outline as O, pagemap as PM, profiles as P, search as S, textlayer as TL, toc as TOC
+from folioscan.plans import tables as D
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = "with recursive " + sql.strip() if not sql.lstrip().startswith("select") else sql.strip()
+        return f
+
+    return add
+
+
+# What several oracles begin with.
+STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')".format
+SQUEEZE = lambda c: r"regexp_replace(" + STRIP(c) + r", '\s+', ' ', 'g')"
+MASK = lambda c: r"regexp_replace(lower(" + SQUEEZE(c) + r"), '\p{Nd}+', '#', 'g')"
+TERMS = lambda c: r"regexp_extract_all(lower(" + c + r"), '[\p{L}\p{N}\p{M}_]+')"
+PG = "pg as (select source book_id, row_number() over (partition by source order by doc_id) - 1 pdf_index, doc_id, coalesce(text, '') text from documents)"
+PC = "pc as (select source book_id, count(*) page_count from documents group by 1)"
+LN = PG + ", " + PC + f""",
+raw as (select book_id, pdf_index, unnest(string_split(text, chr(10))) t, unnest(range(len(string_split(text, chr(10))))) line_no, len(string_split(text, chr(10))) n from pg),
+ln as (select book_id, pdf_index, line_no, {STRIP('t')} text, 20.0::double + 760.0::double * line_no / n top, case when pdf_index % 2 = 1 and line_no % 2 = 1 then 320.0::double else 60.0::double end x0 from raw where {STRIP('t')} <> ''),
+zn as (select *, {MASK('text')} masked, case when top < 96 then 'header' when top + 10 > 704 then 'footer' else 'body' end zone from ln)"""
+BP = LN + """,
+bc as (select book_id, masked, count(distinct pdf_index) page_count, arg_min(text, pdf_index * 1000000 + line_no) example from zn where length(masked) >= 4 group by all),
+bz as (select book_id, masked, zone, row_number() over (partition by book_id, masked order by count(*) desc, min(pdf_index * 1000000 + line_no)) r from zn where length(masked) >= 4 group by book_id, masked, zone),
+bp as (select book_id, masked, bc.page_count, bc.page_count / pc.page_count page_ratio, example, zone from bc join pc using (book_id) join bz using (book_id, masked) where r = 1 and bc.page_count / pc.page_count >= {ratio})"""
+NL = r"""op as (select 'n' || c_nationkey book_id, row_number() over (partition by c_nationkey order by o_orderkey) - 1 pdf_index, o_orderkey, o_custkey from orders join customer on o_custkey = c_custkey),
+nl as (select book_id, pdf_index, 0 line_no, 20.0 top, 'Layout 7 Page ' || (pdf_index + 3) text from op
+  union all select book_id, pdf_index, 2, 760.0, case when pdf_index % 7 <> 6 then cast(case when o_orderkey % 11 = 5 then o_orderkey % 900 + 1 when pdf_index < 40 then pdf_index + 1 else pdf_index - 3 end as varchar) else '-' end from op),
+vt as (select book_id, pdf_index, line_no, case when regexp_full_match(text, '[0-9]+') then 'standalone' else 'embedded' end kind, unnest(regexp_extract_all(text, '\b[0-9]{1,4}\b|^[0-9]+$')) v from nl),
+votes as (select book_id, pdf_index, kind, pdf_index - cast(v as bigint) page_offset, count(*) n, min(line_no) ord from vt where cast(v as bigint) between 1 and 4000 group by all)"""
+SUP = NL + ", sup as (select book_id, kind, page_offset, count(distinct pdf_index) support from votes group by all)"
+RUNS = SUP + """,
+ch as (select book_id, kind, pdf_index, page_offset from (select *, row_number() over (partition by book_id, kind, pdf_index order by support desc, abs(page_offset), ord) r from votes join sup using (book_id, kind, page_offset)) where r = 1),
+gi as (select *, pdf_index - row_number() over (partition by book_id, kind, page_offset order by pdf_index) k from ch),
+rr as (select book_id, kind, page_offset, min(pdf_index) a, max(pdf_index) b from gi group by book_id, kind, page_offset, k having max(pdf_index) - min(pdf_index) >= 2),
+mf as (select *, case when lag(page_offset) over (partition by book_id, kind order by a) = page_offset then 0 else 1 end f from rr),
+mg as (select *, sum(f) over (partition by book_id, kind order by a rows unbounded preceding) g from mf),
+runs as (select book_id, kind, min(a) pdf_start, max(b) pdf_end, min(page_offset) page_offset, cast(sum(b - a + 1) as bigint) measured from mg group by book_id, kind, g)"""
+OL = """ol as (select r_name book_id, o ord, title, level, o pdf_index from (
+  select n_regionkey k, cast(n_nationkey * 100 as bigint) o, n_name title, 1 level from nation
+  union all select n_regionkey, cast(s_nationkey * 100 + nth as bigint), s_name, case when nth = 2 then 3 else 2 end from (select *, row_number() over (partition by s_nationkey order by s_suppkey) nth from supplier) join nation on s_nationkey = n_nationkey where nth <= 3
+) join region on k = r_regionkey)"""
+PATHS = OL + """,
+par as (select e.book_id, e.ord, e.title, e.level, max(p.ord) pid from ol e left join ol p on p.book_id = e.book_id and p.level = e.level - 1 and p.ord < e.ord group by all),
+paths(book_id, ord, section_path) as (select book_id, ord, title from par where level = 1 union all select par.book_id, par.ord, concat(paths.section_path, ' > ', par.title) from par join paths on par.pid = paths.ord and par.book_id = paths.book_id)"""
+BM = f"""tk as (select doc_id, {TERMS("coalesce(text, '')")} t from documents),
+dl as (select doc_id, len(t) dl from tk), st as (select count(*) n_docs, avg(dl) avgdl from dl),
+po as (select doc_id, term, count(*) tf from (select doc_id, unnest(t) term from tk) group by all),
+df as (select term, count(*) df from po group by 1),
+im as (select term, doc_id chunk_id, ln(1 + (n_docs - df + 0.5::double) / (df + 0.5::double)) * tf / (tf + 1.5::double * (0.25::double + 0.75::double * dl / avgdl)) impact from po join df using (term) join dl using (doc_id), st),
+qt as (select distinct item_id query_id, unnest({TERMS('text')}) term from benchmark),
+bs as (select query_id, chunk_id, round(sum(impact), 6) score from qt join im using (term) group by all having round(sum(impact), 6) > 0),
+bm as (select * from (select *, row_number() over (partition by query_id order by score desc, chunk_id) rank from bs) where rank <= 30)"""
+DN = """qv as (select item_id query_id, embedding::double[] q from benchmark join embeddings on item_id = vec_id),
+ds as (select query_id, vec_id chunk_id, round(list_cosine_similarity(q, embedding::double[]), 5) score from qv, embeddings),
+dn as (select * from (select *, row_number() over (partition by query_id order by score desc, chunk_id) rank from ds) where rank <= 30)"""
+FU = BM + ", " + DN + """,
+fu as (select query_id, chunk_id, sum(1.0::double / (60 + rank)) rrf, max(case when b = 'bm25' then rank end) bm25_rank, max(case when b = 'dense' then rank end) dense_rank
+  from (select query_id, chunk_id, rank, 'bm25' b from bm union all select query_id, chunk_id, rank, 'dense' from dn) group by all)"""
+HY = FU + ", " + PG + f""",
+cd as (select query_id, chunk_id, rrf, bm25_rank, dense_rank, book_id, pdf_index + 1 pdf_page, book_id || chr(10) || chr(10) || pg.text passage, benchmark.text question,
+  row_number() over (partition by query_id order by rrf desc, bm25_rank nulls last, dense_rank nulls last, chunk_id) place from fu join pg on doc_id = chunk_id join benchmark on item_id = query_id),
+sc as (select *, len(list_intersect(list_distinct({TERMS('question')}), {TERMS('passage')})) / greatest(len(list_distinct({TERMS('question')})), 1) score from cd),
+ad as (select * from sc qualify max(score) over (partition by query_id) >= 0.1),
+pd as (select * from ad qualify row_number() over (partition by query_id, book_id, pdf_page order by score desc, rrf desc, place) = 1),
+hits as (select query_id, book_id, chunk_id, pdf_page, score, rrf, bm25_rank, dense_rank, row_number() over (partition by query_id order by score desc, rrf desc, place) rank from pd qualify row_number() over (partition by query_id order by score desc, rrf desc, place) <= 6)"""
+
+
+def longs(df, *names):
+    return df.withColumns({n: F.col(n).cast("long") for n in names})
+
+
+# Text functions
+
+
+@query(PG + f" select doc_id, {MASK('t')} masked, count(*) n from (select doc_id, unnest(string_split(text, chr(10))) t from pg) group by all")
+def normalize_lines(spark, sf):
+    rows = D.table(spark, sf, "documents").select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("t"))
+    return rows.groupBy("doc_id", T.mask_line(F.col("t")).alias("masked")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(rf"""q as (select doc_id, source, text, list_filter(regexp_extract_all(text, '[\p{{L}}\p{{N}}\p{{M}}_''-]+'), lambda x: regexp_matches(x, '\p{{L}}')) t from documents),
+s as (select source, sum(length(text)) chars, sum(length(text) - length(replace(text, '�', ''))) broken, sum(len(regexp_extract_all(text, '[\p{{Cc}}\p{{Cf}}\p{{Co}}]')) - len(regexp_extract_all(text, '[\n\t]'))) odd, sum(len(regexp_extract_all(text, '\p{{L}}'))) letters from q group by 1),
+w as (select source, avg(length(x)) m, avg((length(x) <= 2 and not list_contains(string_split('{" ".join(TL.SHORT_WORDS)}', ' '), lower(x)))::int) r from (select source, unnest(t) x from q) group by 1)
+select source, broken / greatest(chars, 1) replacement_char_rate, odd / greatest(chars, 1) nonprintable_rate, letters / greatest(chars, 1) letter_ratio, m mean_token_length, r short_token_rate from s join w using (source)""")
+def text_quality_by_source(spark, sf):
+    return TL.quality(D.table(spark, sf, "documents").select("source", F.coalesce("text", F.lit("")).alias("text")), "source").drop("dictionary_hit_rate")
+
+
+@query(rf"""{PG}, q as (select doc_id, list_filter(regexp_extract_all(text, '[\p{{L}}\p{{N}}\p{{M}}_''-]+'), lambda x: regexp_matches(x, '\p{{L}}')) t from pg)
+select doc_id, len(t) n_tokens, avg((length(x) <= 2 and not list_contains(string_split('{" ".join(TL.SHORT_WORDS)}', ' '), lower(x)))::int) short_rate from (select doc_id, t, unnest(t) x from q) group by all""")
+def short_token_rate(spark, sf):
+    rows = D.pages(spark, sf).select("doc_id", T.quality_tokens(F.col("text")).alias("t"))
+    rows = rows.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.explode("t").alias("x"))
+    short = (F.length("x") <= 2) & ~F.lower("x").isin(TL.SHORT_WORDS)
+    return rows.groupBy("doc_id", "n_tokens").agg(F.avg(short.cast("double")).alias("short_rate"))
+
+
+@query()
+def text_verdict(spark, sf):
+    pages = D.pages(spark, sf).withColumn("char_count", F.length(F.regexp_replace("text", "\n", "")).cast("long"))
+    return TL.verdicts(pages)
+
+
+@query("""select case when strlen(coalesce(text, '')) / 3.0 <= 300 then 300 when ceil(strlen(text) / 3.0) <= 600 then 600 when ceil(strlen(text) / 3.0) <= 900 then 900 when ceil(strlen(text) / 3.0) <= 1200 then 1200 else 9999 end bucket,
+count(*) n, cast(min(ceil(strlen(coalesce(text, '')) / 3.0)) as bigint) least, cast(max(ceil(strlen(coalesce(text, '')) / 3.0)) as bigint) most from documents group by 1""")
+def token_estimate_histogram(spark, sf):
+    size = T.estimated_tokens(F.coalesce("text", F.lit("")))
+    bucket = F.when(size <= 300, 300).when(size <= 600, 600).when(size <= 900, 900).when(size <= 1200, 1200).otherwise(9999)
+    return D.table(spark, sf, "documents").groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.min(size).alias("least"), F.max(size).alias("most"))
+
+
+@query(PG + f"""select doc_id, line_no, {STRIP('t')} heading from (select doc_id, unnest(string_split(text, chr(10))) t, unnest(range(len(string_split(text, chr(10))))) line_no from pg)
+where upper({STRIP('t')}) = {STRIP('t')} and lower({STRIP('t')}) <> {STRIP('t')} and length({STRIP('t')}) <= 120""")
+def uppercase_headings(spark, sf):
+    rows = D.pages(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "t")).where(T.is_heading(F.col("t")))
+    return longs(rows.select("doc_id", "line_no", T.strip(F.col("t")).alias("heading")), "line_no")
+
+
+@query(PG + f""", hl as (select doc_id, line_no, t, (upper({STRIP('t')}) = {STRIP('t')} and lower({STRIP('t')}) <> {STRIP('t')} and length({STRIP('t')}) <= 120)::int h from (select doc_id, unnest(string_split(text, chr(10))) t, unnest(range(len(string_split(text, chr(10))))) line_no from pg))
+select doc_id, seg, min(line_no) first_line, count(*) n_lines, cast(sum(strlen(t)) as bigint) n_bytes from (select *, cast(sum(h) over (partition by doc_id order by line_no) as bigint) seg from hl) group by all""")
+def heading_segments(spark, sf):
+    rows = D.pages(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "t"))
+    along = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("seg", F.sum(T.is_heading(F.col("t")).cast("long")).over(along))
+    return longs(rows.groupBy("doc_id", "seg").agg(F.min("line_no").alias("first_line"), F.count(F.lit(1)).alias("n_lines"), F.sum(F.octet_length("t")).alias("n_bytes")), "first_line")
+
+
+@query(PG + rf""", r as (select doc_id, {SQUEEZE('text')} t from pg)
+select doc_id, cast(len(regexp_extract_all(t, '[.!?] ')) + 1 as bigint) n_sentences from r""")
+def sentence_split(spark, sf):
+    return D.pages(spark, sf).select("doc_id", F.size(T.sentences(F.col("text"))).cast("long").alias("n_sentences"))
+
+
+@query(r"""select doc_id, len(n) n, coalesce(array_to_string(n, ' '), '') numbers from (select doc_id, regexp_extract_all(' ' || regexp_replace(coalesce(text, ''), '([\p{L}\p{N}\p{M}_])([-+]?\p{Nd})', '\1\2', 'g'), '(?:^|[^\p{L}\p{N}\p{M}_])([+-]?\p{Nd}+(?:[.,]\p{Nd}+)?%?)', 1) n from documents)""")
+def numeric_tokens(spark, sf):
+    rows = D.table(spark, sf, "documents").select("doc_id", T.numbers(F.coalesce("text", F.lit(""))).alias("n"))
+    return rows.select("doc_id", F.size("n").cast("long").alias("n"), F.array_join("n", " ").alias("numbers"))
+
+
+@query(r"""select page_id, regexp_extract_all(h, '(?i)\(?\s*\b(?:p{1,2}\.?|pages?)\s*([0-9]+(?:\s*(?:[-–—,;/]|et|and|à|to)\s*[0-9]+)*)\s*\)?', 1) refs
+from (select page_id, 'see page ' || page_id || ' and pp. ' || page_id || '-' || (page_id + 2) || '; p.' || (page_id % 7) h from pages)""")
+def page_reference_scan(spark, sf):
+    i = F.col("page_id").cast("string")
+    made = F.concat(F.lit("see page "), i, F.lit(" and pp. "), i, F.lit("-"), (F.col("page_id") + 2).cast("string"), F.lit("; p."), (F.col("page_id") % 7).cast("string"))
+    return D.table(spark, sf, "pages").select("page_id", F.regexp_extract_all(made, F.lit(T.PAGE_REFERENCE), F.lit(1)).alias("refs"))
+
+
+@query()
+def title_keys(spark, sf):
+    return D.table(spark, sf, "pages").select("page_id", T.title_key(F.regexp_extract("html", "<title>(.*?)</title>", 1)).alias("key"))
+
+
+# Layout
+
+
+@query(BP.replace("{ratio}", "0.08") + " select * from bp")
+def boilerplate_lines(spark, sf):
+    return L.boilerplate(D.lines(spark, sf), D.page_counts(spark, sf), ratio=0.08)
+
+
+@query(BP.replace("{ratio}", "0.08") + " select zn.book_id, zn.pdf_index, count(*) kept from zn anti join bp on zn.book_id = bp.book_id and zn.masked = bp.masked group by all")
+def boilerplate_anti_join(spark, sf):
+    lines = D.lines(spark, sf)
+    kept = L.without_boilerplate(lines, L.boilerplate(lines, D.page_counts(spark, sf), ratio=0.08))
+    return kept.groupBy("book_id", "pdf_index").agg(F.count(F.lit(1)).alias("kept"))
+
+
+@query(LN + " select book_id, zone, count(*) n, count(distinct masked) kinds from zn group by all")
+def line_zone_modes(spark, sf):
+    z = PM.zone(F.col("top"), F.col("bottom"), F.col("height")).alias("zone")
+    return D.lines(spark, sf).select("book_id", z, T.mask_line(F.col("text")).alias("masked")).groupBy("book_id", "zone").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("masked").alias("kinds"))
+
+
+CL = LN + """, cw as (select *, case when x0 - lag(x0) over (partition by book_id, pdf_index order by x0, line_no) > 36 then 1 else 0 end f from ln),
+cc as (select *, sum(f) over (partition by book_id, pdf_index order by x0, line_no rows unbounded preceding) cluster from cw),
+cl as (select book_id, pdf_index, cast(cluster as bigint) cluster, count(*) starts, min(x0) "left" from cc group by all)"""
+
+
+@query(CL + " select * from cl")
+def column_clusters(spark, sf):
+    return longs(L.start_clusters(D.lines(spark, sf)), "cluster")
+
+
+@query(CL + """, sp as (select book_id, pdf_index, count(*) over (partition by book_id) n, row_number() over (partition by book_id order by pdf_index) - 1 r from pg),
+sw as (select *, floor(n / 4) s, least(60, n - floor(n / 4)) w from sp), ss as (select *, greatest(1, floor(w / 20)) st from sw where r >= s and r < s + w),
+sa as (select book_id, pdf_index from ss where (r - s) % st = 0 and (r - s) / st < 20),
+pcs as (select book_id, pdf_index, greatest(1, count(*) filter (starts >= 0.12 * t)) columns from (select *, sum(starts) over (partition by book_id, pdf_index) t from cl semi join sa using (book_id, pdf_index)) group by all)
+select book_id, columns, count(*) n from pcs group by all""")
+def column_distribution(spark, sf):
+    lines = D.lines(spark, sf)
+    sample = L.sampled_pages(D.pages(spark, sf).select("book_id", "pdf_index"))
+    return longs(L.page_columns(lines.join(sample, ["book_id", "pdf_index"], "left_semi")).groupBy("book_id", "columns").agg(F.count(F.lit(1)).alias("n")), "columns")
+
+
+@query("""im as (select p_brand book_id, p_size * 5 w, (p_partkey % 37) * 6 h, p_partkey % 9000 bytes from part)
+select book_id, count(*) images, count(*) filter (w >= 100 and h >= 100) large, median(case when w >= 100 and h >= 100 then w::double * h end) median_area, count(*) filter (w >= 100 and h >= 100 and bytes >= 5000) kept,
+count(*) filter (w >= 100 and h >= 100) / count(distinct case when w >= 0 then w end) >= 0.8 heavy from im group by 1""")
+def image_filter(spark, sf):
+    p = D.table(spark, sf, "part")
+    im = p.select(F.col("p_brand").alias("book_id"), (F.col("p_size") * 5).alias("w"), ((F.col("p_partkey") % 37) * 6).alias("h"), (F.col("p_partkey") % 9000).alias("bytes"))
+    pages = im.groupBy("book_id").agg(F.count_distinct("w").alias("page_count"))
+    kept = L.kept_images(im).groupBy("book_id").agg(F.count(F.lit(1)).alias("kept"))
+    return L.image_report(im, pages).join(kept, "book_id", "left").select("book_id", "images", "large", "median_area", F.coalesce("kept", F.lit(0)).cast("long").alias("kept"), "heavy")
+
+
+@query()
+def glyph_shadows(spark, sf):
+    """Line items as glyphs of an order's page, many of them drawn over one another."""
+    li = D.table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("q"), F.min("l_partkey").alias("p"))
+    glyphs = li.select(F.lit("b").alias("book_id"), F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("seq"), F.lit("char").alias("object_type"), (F.col("p") % 2).cast("string").alias("text"), (F.col("q") % 3).alias("x0"), F.lit(10.0).alias("top"))
+    return L.without_shadows(glyphs).groupBy("page").agg(F.count(F.lit(1)).alias("kept"))
+
+
+# Page numbers
+
+
+@query(NL + " select book_id, pdf_index, kind, page_offset, n from votes")
+def offset_votes(spark, sf):
+    return PM.offset_votes(D.numbered_lines(spark, sf)).drop("ord")
+
+
+@query(SUP + " select * from sup")
+def offset_support(spark, sf):
+    return PM.offset_support(PM.offset_votes(D.numbered_lines(spark, sf)))
+
+
+def _runs(spark, sf):
+    return PM.offset_runs(PM.chosen_offsets(PM.offset_votes(D.numbered_lines(spark, sf))))
+
+
+@query(RUNS + " select book_id, kind, a pdf_start, b pdf_end, page_offset from rr")
+def offset_runs(spark, sf):
+    return PM.raw_runs(PM.chosen_offsets(PM.offset_votes(D.numbered_lines(spark, sf))))
+
+
+@query(RUNS + " select * from runs")
+def run_merge(spark, sf):
+    return _runs(spark, sf)
+
+
+MAPS = RUNS + """, bk as (select book_id, count(*) page_count from op group by 1),
+dm as (select book_id, kind, arg_min(page_offset, -p * 100000 + f) dominant from (select book_id, kind, page_offset, sum(pdf_end - pdf_start + 1) p, min(pdf_start) f from runs group by all) group by all),
+sm as (select book_id, kind, sum(measured) measured, sum(pdf_end - pdf_start + 1) covered, count(*) k, min(page_offset) uo from runs group by all),
+pm as (select book_id, page_count, s.measured sm, e.measured em, coalesce(s.measured, 0) >= 0.25 * page_count and coalesce(s.measured, 0) > 0 folio, s.covered sc, e.covered ec, s.k sk, e.k ek, s.uo so, e.uo eo, sd.dominant sdom, ed.dominant edom
+  from bk left join (from sm where kind = 'standalone') s using (book_id) left join (from sm where kind = 'embedded') e using (book_id) left join (from dm where kind = 'standalone') sd using (book_id) left join (from dm where kind = 'embedded') ed using (book_id)),
+maps as (select book_id, page_count, case when folio or em > 0 then 'printed' else 'identity' end "method", case when folio then 'standalone' when em > 0 then 'embedded' else 'none' end source,
+  case when folio then sm / page_count when em > 0 then 0.5::double * em / page_count else 0 end confidence, cast(case when folio then sm else coalesce(em, 0) end as bigint) measured, cast(case when folio then sc else coalesce(ec, 0) end as bigint) covered,
+  case when folio and sk = 1 and sc >= 0.9 * page_count then so when not folio and ek = 1 and ec >= 0.9 * page_count then eo end uniform_offset, coalesce(folio and edom <> sdom and em >= 0.5 * page_count, false) disagrees from pm)"""
+
+
+def _maps(spark, sf):
+    counts = D.numbered_lines(spark, sf).groupBy("book_id").agg(F.count_distinct("pdf_index").alias("page_count"))
+    return PM.page_map(_runs(spark, sf), counts)
+
+
+@query(MAPS + " select * from maps")
+def page_map(spark, sf):
+    return _maps(spark, sf)
+
+
+@query(MAPS + """, us as (select runs.* from runs join maps on runs.book_id = maps.book_id and runs.kind = maps.source)
+select op.book_id, op.pdf_index, case when maps."method" = 'identity' then op.pdf_index + 1 else op.pdf_index - page_offset end book_page from op join maps using (book_id) left join us on us.book_id = op.book_id and op.pdf_index between pdf_start and pdf_end""")
+def book_page_lookup(spark, sf):
+    maps = _maps(spark, sf)
+    pages = D.numbered_lines(spark, sf).select("book_id", "pdf_index").distinct()
+    return PM.printed_pages(pages, PM.used_runs(_runs(spark, sf), maps), maps)
+
+
+# Outlines and sections
+
+
+SPANS = OL + """, oc as (select book_id, max(ord) + 50 page_count from ol group by 1),
+st as (select distinct book_id, pdf_index from ol), sp as (select book_id, pdf_index "start", coalesce(lead(pdf_index) over (partition by book_id order by pdf_index), page_count) - pdf_index span from st join oc using (book_id))"""
+
+
+def _outline_pages(spark, sf):
+    return D.outline(spark, sf).groupBy("book_id").agg((F.max("ord") + 50).alias("page_count"))
+
+
+@query(SPANS + " select * from sp")
+def outline_spans(spark, sf):
+    return O.outline_spans(D.outline(spark, sf), _outline_pages(spark, sf))
+
+
+@query(SPANS + """, a as (select book_id, median(span) median_span, max(span) max_span, min("start") first from sp group by 1), c as (select book_id, count(*) entries, count(pdf_index) resolved from ol group by 1)
+select book_id, entries, resolved, median_span, max_span, greatest(max_span, first) largest_gap, (page_count - first) / page_count coverage,
+  not (entries < least(10, page_count) or resolved / entries < 0.8 or median_span > 30 or (page_count - first) / page_count < 0.8) usable from a join c using (book_id) join oc using (book_id)""")
+def outline_usability(spark, sf):
+    return O.outline_report(D.outline(spark, sf), _outline_pages(spark, sf)).drop("reasons")
+
+
+@query(PATHS + " select * from paths")
+def section_paths(spark, sf):
+    return O.section_paths(D.outline(spark, sf)).select("book_id", "ord", "section_path")
+
+
+@query("""a as (select conv_id, turn, text from conversations where role = 'user')
+select c.conv_id, c.turn, a.turn section_turn from conversations c asof left join a on c.conv_id = a.conv_id and c.turn >= a.turn""")
+def asof_sections(spark, sf):
+    """The last user's turn at or before each turn, as a line's section is the last anchor before it."""
+    c = D.table(spark, sf, "conversations")
+    book = F.col("conv_id").cast("string").alias("book_id")
+    lines = c.select(book, F.col("turn").alias("pdf_index"), F.lit(0).alias("line_no"), "conv_id", "turn")
+    marks = c.where("role = 'user'").select(book, F.col("turn").alias("pdf_index"), F.lit(0).alias("line_no"), F.col("turn").alias("ord"), F.lit("").alias("section_path"), F.lit("").alias("title"), F.lit(True).alias("found"))
+    found = O.lines_of_sections(lines, marks)
+    return found.select("conv_id", "turn", F.col("section.heading_page").alias("section_turn"))
+
+
+# Tables of contents
+
+
+@query(r"""t as (select o_custkey, o_orderkey % 90 + 1 p, 'Chapter of ' || regexp_replace(o_orderpriority, '[^A-Z]', '', 'g') || ' things ..... ' || (o_orderkey % 90 + 1) || ' Second part ' || (o_custkey % 50 + 1) l from orders)
+select o_custkey, regexp_extract_all(l, '([\p{L}][^0-9\n]{2,70}?)\s*[.·•‧∙…\-_ ]{1,}([0-9]{1,4})(?:\s|$)', 1) titles, count(*) n from t group by all""")
+def toc_pairs(spark, sf):
+    o = D.table(spark, sf, "orders")
+    line = F.concat(F.lit("Chapter of "), F.regexp_replace("o_orderpriority", "[^A-Z]", ""), F.lit(" things ..... "), (F.col("o_orderkey") % 90 + 1).cast("string"), F.lit(" Second part "), (F.col("o_custkey") % 50 + 1).cast("string"))
+    titles = F.transform(T.toc_pairs(line), lambda p: p["title"])
+    return o.select("o_custkey", titles.alias("titles")).groupBy("o_custkey", "titles").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def toc_page_map(spark, sf):
+    """Books of nations: page 1 lists the next customers with their printed pages, whose pages carry the names as lines."""
+    c = D.table(spark, sf, "customer")
+    own = Window.partitionBy("c_nationkey").orderBy("c_custkey")
+    page = c.select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("book_id"), F.row_number().over(own).alias("k"), F.concat(F.lit("Chapter "), F.regexp_replace(F.translate(F.col("c_custkey").cast("string"), "0123456789", "abcdefghij"), "$", "")).alias("title"))
+    page = page.where("k <= 40")
+    body = page.select("book_id", (F.col("k") + 20).alias("pdf_index"), F.lit(0).alias("line_no"), F.col("title").alias("text"))
+    toc = page.where("k <= 12").select("book_id", F.lit(1).alias("pdf_index"), F.col("k").alias("line_no"), F.concat("title", F.lit(" .... "), (F.col("k") + 16).cast("string")).alias("text"))
+    lines = body.unionByName(toc)
+    counts = lines.groupBy("book_id").agg(F.lit(70).cast("long").alias("page_count"), F.count(F.lit(1)).alias("n")).drop("n")
+    none = spark.createDataFrame([], "book_id string, masked string")
+    return TOC.toc_page_map(TOC.located_titles(TOC.toc_entries(lines, none, counts), lines, counts), counts)
+
+
+# Decisions
+
+
+@query("""r as (select l_orderkey, count(*) n, sum(l_quantity) q, max(l_discount) d from lineitem group by 1)
+select l_orderkey book_id, case when q % 5 = 0 or q % 5 = 1 then 'C' when n >= 3 then 'A' else 'B' end route, q % 5 = 2 warned, d >= 0.08 illustrated from r""")
+def route_decision(spark, sf):
+    r = D.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("q"), F.max("l_discount").alias("d"))
+    k = F.col("q") % 5
+    verdict = F.when(k == 0, "absent").when(k == 1, "bad").when(k == 2, "suspect").otherwise("native")
+    return TL.routes(r.select(F.col("l_orderkey").alias("book_id"), verdict.alias("verdict"), (F.col("n") >= 3).alias("usable"), (F.col("d") >= 0.08).alias("heavy")))
+
+
+@query("""select 'c' || c_custkey book_id, 'p' || n_nationkey "name" from customer join nation on c_nationkey = n_nationkey and n_nationkey % 2 = 0 where contains(c_mktsegment, substr('AUTOMOBILEBUILDINGMACHINERYHOUSEHOLDFURNITURE', 1 + n_nationkey % 10, 2))""")
+def profile_match(spark, sf):
+    c, n = D.table(spark, sf, "customer"), D.table(spark, sf, "nation")
+    reports = c.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("book_id"), F.col("c_nationkey").alias("page_count"), F.col("c_mktsegment").alias("producer"), F.lit(None).cast("string").alias("file_sha256"), F.lit(None).cast("string").alias("first_page_text_sha256"))
+    word = F.substring(F.lit("AUTOMOBILEBUILDINGMACHINERYHOUSEHOLDFURNITURE"), 1 + F.col("n_nationkey") % 10, F.lit(2))
+    own = n.where("n_nationkey % 2 = 0").select(F.concat(F.lit("p"), F.col("n_nationkey").cast("string")).alias("name"), F.col("n_nationkey").alias("page_count"), word.alias("producer_contains"), F.lit(None).cast("string").alias("first_page_text_sha256"), F.lit(None).cast("string").alias("file_sha256"))
+    return P.matches(reports, own)
+
+
+@query(PG + f" select book_id, arg_min(pdf_index, pdf_index) pdf_index, arg_min(sha256({STRIP('text')}), pdf_index) first_page_text_sha256 from pg where length({STRIP('text')}) >= 200 group by 1")
+def fingerprint_page(spark, sf):
+    return TL.fingerprints(D.pages(spark, sf))
+
+
+@query("""f as (select case p_partkey % 9 when 0 then 'src/' || p_name || '.py' when 1 then 'fixtures/' || p_brand || '.pdf' when 2 then p_brand || '.EPUB' when 3 then '.ssh/' || p_partkey when 4 then 'a/.env.' || p_size when 5 then 'out/' || p_partkey || '.jsonl' when 6 then 'data/' || p_partkey || '.txt' when 7 then 'keys/' || p_partkey || '.pem' else 'big/' || p_partkey || '.bin' end path, p_partkey * 1000 bytes from part)
+select path, bytes, case when path like '.ssh/%' or path like '%/.env.%' or path like '%.pem' then 'secret' when path like '%.EPUB' then 'book outside fixtures' when path like '%.pdf' and path not in ('fixtures/Brand#1.pdf', 'fixtures/Brand#2.pdf') then 'undeclared fixture'
+  when path like '%.jsonl' or path like 'data/%' then 'derived' when bytes > 1048576 then 'too large' end problem from f""")
+def guard_files(spark, sf):
+    p = D.table(spark, sf, "part")
+    k, s = F.col("p_partkey") % 9, F.col("p_partkey").cast("string")
+    path = F.when(k == 0, F.concat(F.lit("src/"), "p_name", F.lit(".py"))).when(k == 1, F.concat(F.lit("fixtures/"), "p_brand", F.lit(".pdf"))).when(k == 2, F.concat("p_brand", F.lit(".EPUB"))).when(k == 3, F.concat(F.lit(".ssh/"), s)).when(k == 4, F.concat(F.lit("a/.env."), F.col("p_size").cast("string")))
+    path = path.when(k == 5, F.concat(F.lit("out/"), s, F.lit(".jsonl"))).when(k == 6, F.concat(F.lit("data/"), s, F.lit(".txt"))).when(k == 7, F.concat(F.lit("keys/"), s, F.lit(".pem"))).otherwise(F.concat(F.lit("big/"), s, F.lit(".bin")))
+    sources = spark.createDataFrame([("see `fixtures/Brand#1.pdf`, and (fixtures/Brand#2.pdf).",)], "text string").withColumn("text", F.regexp_replace("text", r"\)\.", ")"))
+    return hygiene.checked(p.select(path.alias("path"), (F.col("p_partkey") * 1000).alias("bytes")), hygiene.declared(sources))
+
+
+# Chunks
+
+
+def _sections(spark, sf):
+    page = F.struct((F.col("pdf_index") + 1).cast("int").alias("pdf_page"), (F.col("pdf_index") + 1).cast("int").alias("book_page"), F.col("text").alias("text"))
+    return D.pages(spark, sf).select("book_id", F.col("doc_id").alias("section_no"), F.col("book_id").alias("section_path"), F.array(page).alias("pages"))
+
+
+@query()
+def section_chunks(spark, sf):
+    parts = chunking.section_chunks(_sections(spark, sf))
+    text = F.array_join(F.transform("pages", lambda p: p["text"]), "\n\n")
+    return parts.select("book_id", "section_no", "part", F.sha2(text, 256).alias("text_sha256"), T.estimated_tokens(text).alias("tokens"), "error")
+
+
+@query()
+def chunk_stats(spark, sf):
+    files = D.page_counts(spark, sf).select("book_id", F.sha2("book_id", 256).alias("file_sha256"))
+    return ingest.chunk_stats(ingest.chunk_rows(chunking.section_chunks(_sections(spark, sf)), files))
+
+
+@query(PG + " select doc_id, sha256(concat_ws(':', sha256(book_id), cast(doc_id as varchar), '0', text)) id from pg")
+def chunk_ids(spark, sf):
+    return D.pages(spark, sf).select("doc_id", chunking.chunk_id(F.sha2("book_id", 256), F.col("doc_id"), F.lit(0), F.col("text")).alias("id"))
+
+
+@query(PG + f""", it as (select doc_id, unnest(range(len(string_split(text, chr(10))))) i, cast(ceil(strlen(unnest(string_split(text, chr(10)))) / 3.0) as bigint) s from pg),
+gp(doc_id, i, first, size) as (select doc_id, i, i, s from it where i = 0 union all select it.doc_id, it.i, case when gp.size + s <= 300 then gp.first else it.i end, case when gp.size + s <= 300 then gp.size + s else s end from it join gp on it.doc_id = gp.doc_id and it.i = gp.i + 1)
+select doc_id, first, max(i) "last", max(size) size from gp group by all""")
+def greedy_packing(spark, sf):
+    sizes = F.transform(F.split("text", "\n"), lambda t: F.ceil(F.octet_length(t) / 3).cast("long"))
+    rows = D.pages(spark, sf).select("doc_id", F.explode(chunking.greedy_pack(sizes, 300)).alias("g"))
+    return rows.select("doc_id", F.col("g.first").cast("long").alias("first"), F.col("g.last").cast("long").alias("last"), F.col("g.size").alias("size"))
+
+
+@query()
+def ingested_books(spark, sf):
+    """Chunks of the sources as books whose sections are found by an outline of every tenth page's first line."""
+    lines = D.lines(spark, sf)
+    first = lines.where("pdf_index % 10 = 0 and line_no = 0").select("book_id", F.col("pdf_index").alias("ord"), F.col("text").alias("title"), F.lit(1).alias("level"), "pdf_index")
+    files = D.page_counts(spark, sf).select("book_id", F.sha2("book_id", 256).alias("file_sha256"))
+    made = ingest.ingest(lines, first, D.page_counts(spark, sf), files)
+    return made.groupBy("book_id").agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct("section_path").alias("sections"), F.max(F.size("pages")).alias("most_pages"))
+
+
+# Index and search
+
+
+@query(BM + " select doc_id, term, tf, dl from po join dl using (doc_id)")
+def postings(spark, sf):
+    return I.postings(D.table(spark, sf, "documents").withColumn("text", F.coalesce("text", F.lit(""))), "doc_id")
+
+
+@query(BM + " select term, df, n_docs, round(avgdl, 6) avgdl from df, st")
+def doc_stats(spark, sf):
+    docs = D.table(spark, sf, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    stats = I.corpus_stats(I.doc_lengths(docs, "doc_id"))
+    return I.document_frequency(I.postings(docs, "doc_id")).crossJoin(F.broadcast(stats)).select("term", "df", "n_docs", F.round("avgdl", 6).alias("avgdl"))  # one row
+
+
+def _impacts(spark, sf):
+    return I.impacts(D.chunks(spark, sf).select(F.col("id").alias("chunk_id"), "text"))
+
+
+@query(BM + " select query_id, chunk_id, score, rank from bm")
+def bm25_topk(spark, sf):
+    return longs(S.bm25(D.questions(spark, sf), _impacts(spark, sf)), "rank")
+
+
+@query(DN + " select query_id, chunk_id, score, rank from dn")
+def dense_topk(spark, sf):
+    return longs(S.dense(D.question_vectors(spark, sf), D.vectors(spark, sf)), "rank")
+
+
+def _fused(spark, sf):
+    return S.both(S.bm25(D.questions(spark, sf), _impacts(spark, sf)), S.dense(D.question_vectors(spark, sf), D.vectors(spark, sf)))
+
+
+@query(FU + " select query_id, chunk_id, round(rrf, 9) rrf, bm25_rank, dense_rank from fu")
+def rrf_fusion(spark, sf):
+    return longs(_fused(spark, sf).withColumn("rrf", F.round("rrf", 9)), "bm25_rank", "dense_rank")
+
+
+@query("""s as (select l_orderkey query_id, l_linenumber page, l_discount * 10 score from lineitem)
+select query_id, page, score from s qualify max(score) over (partition by query_id) >= 0.5""")
+def admission_filter(spark, sf):
+    s = D.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("page"), (F.col("l_discount") * 10).alias("score"))
+    return S.admitted(s, 0.5)
+
+
+@query("""s as (select o_custkey query_id, o_orderpriority book_id, o_orderkey % 5 pdf_page, o_orderkey chunk_id, round(o_totalprice / 1e6, 2) score, 1.0::double / (60 + o_orderkey % 30) rrf, o_orderkey place, 0 page_no from orders),
+f as (select * from s qualify row_number() over (partition by query_id, book_id, pdf_page order by score desc, rrf desc, place) = 1)
+select query_id, book_id, pdf_page, chunk_id, score, row_number() over (partition by query_id order by score desc, rrf desc, place) rank from f qualify row_number() over (partition by query_id order by score desc, rrf desc, place) <= 6""")
+def distinct_page_topk(spark, sf):
+    o = D.table(spark, sf, "orders")
+    s = o.select(F.col("o_custkey").alias("query_id"), F.col("o_orderpriority").alias("book_id"), (F.col("o_orderkey") % 5).alias("pdf_page"), F.col("o_orderkey").alias("chunk_id"), F.round(F.col("o_totalprice") / 1e6, 2).alias("score"), (1 / (60 + F.col("o_orderkey") % 30)).alias("rrf"), F.col("o_orderkey").alias("place"), F.lit(0).alias("page_no"))
+    return longs(S.distinct_pages(s).select("query_id", "book_id", "pdf_page", "chunk_id", "score", "rank"), "rank")
+
+
+@query(HY + " select query_id, chunk_id, book_id, pdf_page, round(score, 9) score, round(rrf, 9) rrf, bm25_rank, dense_rank, rank from hits")
+def hybrid_search(spark, sf):
+    found = S.search(D.questions(spark, sf), D.chunks(spark, sf), _impacts(spark, sf), D.question_vectors(spark, sf), D.vectors(spark, sf))
+    out = found.select("query_id", "chunk_id", "book_id", "pdf_page", F.round("score", 9).alias("score"), F.round("rrf", 9).alias("rrf"), "bm25_rank", "dense_rank", "rank")
+    return longs(out, "pdf_page", "bm25_rank", "dense_rank", "rank")
+
+
+# Evaluation
+
+
+EV = """qs as (select o_orderkey id, case o_orderkey % 5 when 0 then 'factual' when 1 then 'procedural' when 2 then 'cross_section' when 3 then 'ambiguous' else 'out_of_book' end category from orders),
+ex as (select distinct l_orderkey id, l_linenumber page from lineitem where l_returnflag = 'A'),
+rt as (select distinct l_orderkey id, l_linenumber page from lineitem where l_linestatus = 'O' and l_linenumber <= 6),
+ev as (select qs.id, category, case when category in ('factual', 'procedural', 'cross_section') and count(ex.page) > 0 then count(rt.page) / count(ex.page) end recall_at_6 from qs left join ex using (id) left join rt on rt.id = qs.id and rt.page = ex.page group by qs.id, category)"""
+
+
+def _questions(spark, sf):
+    o, li = D.table(spark, sf, "orders"), D.table(spark, sf, "lineitem")
+    k = F.col("o_orderkey") % 5
+    category = F.when(k == 0, "factual").when(k == 1, "procedural").when(k == 2, "cross_section").when(k == 3, "ambiguous").otherwise("out_of_book")
+    pages = li.where("l_returnflag = 'A'").groupBy("l_orderkey").agg(F.sort_array(F.collect_set("l_linenumber")).alias("pages"))
+    none = F.array().cast("array<int>")
+    return o.join(pages, o.o_orderkey == pages.l_orderkey, "left").select(F.col("o_orderkey").alias("id"), category.alias("category"), F.coalesce("pages", none).alias("expected_pages"), F.create_map().cast("map<int,array<int>>").alias("page_alternatives"))
+
+
+def _hits(spark, sf):
+    li = D.table(spark, sf, "lineitem").where("l_linestatus = 'O'").select("l_orderkey", "l_linenumber").distinct()
+    return li.select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("rank"), F.col("l_linenumber").alias("book_page"), F.lit("s").alias("section_path"))
+
+
+@query(EV + " select id, category, recall_at_6 from ev")
+def recall_at_6(spark, sf):
+    return E.retrieval_cases(_questions(spark, sf), _hits(spark, sf)).select("id", "category", "recall_at_6")
+
+
+@query(EV + """, rf as (select ev.*, ev.id not in (select id from rt) refused from ev)
+select category, count(*) cases, avg(recall_at_6) recall_at_6, avg(case when category = 'out_of_book' then refused::int end) refusal_rate, coalesce(avg(recall_at_6) >= 0.85, false) target_met from rf group by grouping sets ((), (category))""")
+def eval_rollup(spark, sf):
+    return E.roll_up(E.retrieval_cases(_questions(spark, sf), _hits(spark, sf)))
+
+
+@query(EV + """, w(category, least) as (values ('factual', 10), ('procedural', 8), ('cross_section', 6), ('ambiguous', 3), ('out_of_book', 3))
+select w.category, count(qs.id) n, least, count(qs.id) >= least enough from w left join qs using (category) group by w.category, least""")
+def dataset_balance(spark, sf):
+    return E.dataset_balance(_questions(spark, sf))
+
+
+@query(EV + """, cs as (select qs.id, category, list_sort(list(distinct ex.page) filter (ex.page is not null)) p from qs left join ex using (id) group by all)
+select id, 'no expected page' problem from cs where category in ('factual', 'procedural', 'cross_section') and coalesce(len(p), 0) = 0
+union all select id, 'fewer than two pages' from cs where category = 'cross_section' and coalesce(len(p), 0) < 2 union all select id, 'pages out of the book' from cs where category = 'out_of_book' and len(p) > 0""")
+def dataset_problems(spark, sf):
+    return E.dataset_problems(_questions(spark, sf))
+
+
+@query(r"""c as (select o_orderkey, 'yes (p. ' || o_orderkey % 7 || ') and (p. ' || o_custkey % 7 || ')' answer from orders),
+s as (select l_orderkey, list(distinct l_linenumber) pages from lineitem group by 1)
+select o_orderkey, len(list_distinct(list_transform(regexp_extract_all(answer, '\(p\.\s*([0-9]+)\)', 1), lambda x: x::int))) n_cited, pages is not null and len(list_filter(list_distinct(list_transform(regexp_extract_all(answer, '\(p\.\s*([0-9]+)\)', 1), lambda x: x::int)), lambda x: not coalesce(list_contains(pages, x), false))) = 0 exact from c left join s on l_orderkey = o_orderkey""")
+def citation_subset(spark, sf):
+    o, li = D.table(spark, sf, "orders"), D.table(spark, sf, "lineitem")
+    answer = F.concat(F.lit("yes (p. "), (F.col("o_orderkey") % 7).cast("string"), F.lit(") and (p. "), (F.col("o_custkey") % 7).cast("string"), F.lit(")"))
+    pages = li.groupBy("l_orderkey").agg(F.collect_set("l_linenumber").alias("pages"))
+    rows = o.select("o_orderkey", T.cited_pages(answer).alias("cited")).join(pages, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return rows.select("o_orderkey", F.size("cited").cast("long").alias("n_cited"), F.coalesce((F.size(F.array_except("cited", "pages")) == 0) & F.col("pages").isNotNull(), F.lit(False)).alias("exact"))
+
+
+CA = """cs as (select quality = 1 positive, ((doc_id * 7919) % 1000 + 1) / 1000.0::double * (case when quality = 1 then 1 else 0.02::double end) score from labels),
+gr as (select positive, score, unnest([1.0, 0.1, 0.01, 0.001, 0.0001, 0.00001, 0.000001]::double[]) threshold from cs),
+ca as (select threshold, count(*) filter (positive and score >= threshold) admitted, count(*) filter (not positive and score < threshold) refused, count(*) filter (positive) positives, count(*) filter (not positive) negatives, min(case when positive then score end) minimum_positive from gr group by 1),
+cb as (select *, (admitted / positives + refused / negatives) / 2 accuracy from ca)"""
+
+
+def _cases(spark, sf):
+    own = F.col("quality") == 1
+    return D.table(spark, sf, "labels").select(own.alias("positive"), (((F.col("doc_id") * 7919) % 1000 + 1) / 1000.0 * F.when(own, 1.0).otherwise(0.02)).alias("score"))
+
+
+@query(CA + " select threshold, admitted, refused, positives, negatives, minimum_positive, accuracy from cb")
+def calibration_grid(spark, sf):
+    return E.accuracy_grid(_cases(spark, sf))
+
+
+@query(CA + " select threshold, admitted, refused, positives, negatives, minimum_positive, accuracy from cb order by accuracy desc, threshold desc limit 1")
+def calibration_best(spark, sf):
+    return E.calibrated(E.accuracy_grid(_cases(spark, sf)))
+
+
+# Grounding and conversation
+
+
+@query()
+def claim_validation(spark, sf):
+    """A claim about each document that quotes its first words: every third misquotes, every fifth names another number."""
+    p = D.pages(spark, sf)
+    quote = F.substring(T.squeeze(F.col("text")), 1, 60)
+    said = F.when(F.col("doc_id") % 3 == 0, F.concat(quote, F.lit("x"))).otherwise(quote)
+    text = F.when(F.col("doc_id") % 5 == 0, F.lit("it costs 7")).otherwise(F.lit("it holds"))
+    claim = F.struct(F.lit(0).cast("long").alias("source"), text.alias("text"), said.alias("quote"))
+    raw = F.to_json(F.struct(F.lit("answer").alias("kind"), F.lit("").alias("reply"), F.array(claim).alias("claims")))
+    hits = F.array(F.struct(F.col("book_id").alias("section_path"), "text", (F.col("pdf_index") + 1).cast("int").alias("book_page")))
+    return G.validated(p.select("doc_id", raw.alias("raw"), hits.alias("hits"))).select("doc_id", "answer", "error")
+
+
+@query(PG + rf""", an as (select doc_id, text, list_filter(string_split(regexp_replace({SQUEEZE('text')}, '([.!?]) ', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') s, pdf_index + 1 p from pg)
+select doc_id, case when len(s) = 0 then 'Ce n''est pas établi par le manuel.' when doc_id % 4 = 0 then 'Ce n''est pas établi par le manuel.' else {STRIP('s[1]')} || ' (p. ' || p || ')' end answer from an where not regexp_matches(s[1], '(?i)\b(p{{1,2}}\.?|pages?)\s*[0-9]') or len(s) = 0""")
+def passage_answers(spark, sf):
+    """Answers that are a document's first sentence; every fourth has a word more, which the passage does not hold."""
+    p = D.pages(spark, sf).withColumn("first", T.sentences(F.col("text"))[0])
+    said = F.when(F.col("doc_id") % 4 == 0, F.concat("first", F.lit(" Invented."))).otherwise(F.col("first"))
+    rows = p.where(~F.rlike("first", F.lit(r"(?i)\b(p{1,2}\.?|pages?)\s*[0-9]")))
+    return rows.select("doc_id", G.passage_answer(F.col("text"), (F.col("pdf_index") + 1).cast("int"), F.lit(True), said).alias("answer"))
+
+
+@query("""select conv_id, turn, case when turn % 3 = 0 then 'This is not in the manual. Closest section: s' || conv_id || '.' when turn % 3 = 1 then 'Ce n''est pas établi par le manuel. Section proche : s' || conv_id || '.' else 'Ce n''est pas établi par le manuel.' end answer from conversations""")
+def refusal_match(spark, sf):
+    c = D.table(spark, sf, "conversations")
+    reply = F.when(F.col("turn") % 3 == 0, G.NOT_FOUND_EN).when(F.col("turn") % 3 == 1, "").otherwise("I do not know.")
+    raw = F.to_json(F.struct(F.lit("refusal").alias("kind"), reply.alias("reply"), F.array().cast("array<struct<source:bigint,text:string,quote:string>>").alias("claims")))
+    hits = F.array(F.struct(F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("section_path"), F.lit("").alias("text"), F.lit(1).alias("book_page")))
+    return G.validated(c.select("conv_id", "turn", raw.alias("raw"), hits.alias("hits"))).select("conv_id", "turn", "answer")
+
+
+@query("select conv_id, turn, role, row_number() over (partition by conv_id order by turn desc) back from conversations qualify row_number() over (partition by conv_id order by turn desc) <= 12")
+def history_last_12(spark, sf):
+    return longs(G.last_turns(D.table(spark, sf, "conversations").select("conv_id", "turn", "role")), "back")
+
+
+@query("""e as (select conv_id, turn, text, row_number() over (partition by conv_id order by turn) r from conversations)
+select conv_id query_id, count(*) hits, cast(sum(length(text)) as bigint) chars, case when count(*) > 6 then 'too many hits' when sum(length(text)) > 80000 then 'too much evidence' end problem from e group by 1""")
+def evidence_guard(spark, sf):
+    return G.guarded(D.table(spark, sf, "conversations").select(F.col("conv_id").alias("query_id"), "text"))
+
+
+@query()
+def prompt_json(spark, sf):
+    hits = D.table(spark, sf, "conversations").select(F.col("conv_id").alias("query_id"), (F.col("turn") + 1).cast("int").alias("rank"), "role", "text")
+    return G.prompts(D.questions(spark, sf), hits.select("query_id", "rank", F.col("role").alias("section_path"), "text"))
+
+
+@query("""select doc_id, doc_id % 7 first_page, cast(case when doc_id % 7 = doc_id % 5 then 1 else 2 end as bigint) n from labels""")
+def ordered_distinct(spark, sf):
+    pages = F.array_distinct(F.array(F.col("doc_id") % 7, F.col("doc_id") % 5))
+    return D.table(spark, sf, "labels").select("doc_id", F.get(pages, F.lit(0)).alias("first_page"), F.size(pages).cast("long").alias("n"))
+
+
+@query()
+def index_fingerprint(spark, sf):
+    return I.fingerprint("overlap", D.chunks(spark, sf).select("id", "book_id", "text"))
+
+
+@query()
+def probe(spark, sf):
+    from folioscan.operators.probe import probe as run
+
+    lines = D.lines(spark, sf)
+    first = lines.where("pdf_index % 10 = 0 and line_no = 0").select("book_id", F.col("pdf_index").alias("ord"), F.col("text").alias("title"), F.lit(1).alias("level"), "pdf_index")
+    out = run(lines, D.page_counts(spark, sf), first)
+    return out.select("book_id", "page_count", "route", "text_layer.verdict", "outline.usable", "page_map.method", "page_map.confidence", "columns.dominant", "first_page_text_sha256")
