@@ -90,8 +90,8 @@ n as (select doc_id, count(*) n from s group by doc_id),
 pair as (select a.doc_id x, b.doc_id y, count(*) c from s a join s b on a.k = b.k and a.doc_id < b.doc_id group by all),
 link as (select x, y from pair join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * c >= 85 * (nx.n + ny.n - c)),
 edge as (select x, y from link union all select y, x from link),
-reach(doc_id, at) as (select doc_id, doc_id from documents union select reach.doc_id, edge.y from reach join edge on reach.at = edge.x)
-select d.doc_id, coalesce(n.n, 0) n_shingles, min(at) component_id from d left join n using (doc_id) join reach using (doc_id) group by d.doc_id, n.n""",
+reach(doc_id, node) as (select doc_id, doc_id from documents union select reach.doc_id, edge.y from reach join edge on reach.node = edge.x)
+select d.doc_id, coalesce(n.n, 0) n_shingles, min(node) component_id from d left join n using (doc_id) join reach using (doc_id) group by d.doc_id, n.n""",
     "op8_decontaminate": r"""
 with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
 b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark),
