@@ -49,7 +49,8 @@ def rule_table(spark, rules) -> DataFrame:
         if (host, slash + path) not in seen:
             seen.add((host, slash + path))
             rows.append((n, verdict, rule, host, slash + path))
-    table = spark.createDataFrame(rows, "n int, verdict string, rule string, host string, path string")
+    names = ("n", "verdict", "rule", "host", "path")
+    table = spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(names, r, strict=True)]) for r in rows])))
     return table.withColumn("key", order_key(reversed_labels(F.col("host")), F.col("path")))
 
 
