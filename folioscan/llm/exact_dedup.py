@@ -35,19 +35,13 @@ def exact_dedup(docs: DataFrame, keep: str = "max", rounds: int = 6) -> DataFram
     rows = rows.withColumn("run", F.pmod(F.xxhash64("doc_id"), F.lit(1 << rounds)).cast("int"))
     ranked = F.min(F.struct(F.col("doc_id").isNull().alias("none"), (F.col("doc_id") * sign).alias("rank")))
     level = rows.groupBy("key", "run").agg(F.count(F.lit(1)).alias("n"), ranked.alias("first"))
-    levels = [level]
-    left = rounds
-    while left > 0:
-        step = min(STEP, left)
-        left -= step
-        up = F.shiftright("run", step)
-        level = level.groupBy("key", up.alias("run")).agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    levels, steps = [level], [min(STEP, rounds - k) for k in range(0, rounds, STEP)]
+    for step in steps:
+        level = level.groupBy("key", F.shiftright("run", step).alias("run")).agg(F.sum("n").alias("n"), F.min("first").alias("first"))
         levels.append(level)
-    down, left = levels.pop(), 0
+    down = levels.pop()
     while levels:
-        step = min(STEP, rounds - left) if len(levels) > 1 else rounds - left
-        left += step
-        below = levels.pop().select("key", "run", F.shiftright("run", step).alias("over"))
+        below = levels.pop().select("key", "run", F.shiftright("run", steps.pop()).alias("over"))
         told = down.select("key", F.col("run").alias("over"), "n", "first")
         down = below.join(told, ["key", "over"]).select("key", "run", "n", "first")
     out = rows.join(down, ["key", "run"])
