@@ -105,7 +105,7 @@ def accuracy_grid(cases: DataFrame, powers: int = 7) -> DataFrame:
     rows = cases.select("positive", "score", grid)
     admitted, refused = F.col("positive") & (F.col("score") >= F.col("threshold")), ~F.col("positive") & (F.col("score") < F.col("threshold"))
     sums = rows.groupBy("threshold").agg(F.count_if(admitted).alias("admitted"), F.count_if(refused).alias("refused"), F.count_if("positive").alias("positives"), F.count_if(~F.col("positive")).alias("negatives"), F.min(F.when(F.col("positive"), F.col("score"))).alias("minimum_positive"))
-    return sums.withColumn("accuracy", (F.col("admitted") / F.col("positives") + F.col("refused") / F.col("negatives")) / 2)
+    return sums.withColumn("accuracy", (F.try_divide("admitted", "positives") + F.try_divide("refused", "negatives")) / 2)
 
 
 def calibrated(grid: DataFrame) -> DataFrame:

@@ -65,7 +65,7 @@ def walked_outline(spark: SparkSession, nested: list, book_id: str) -> DataFrame
 
 def _text(spark: SparkSession, path: str) -> str:
     """A whole small file, by any path that Spark reads."""
-    return spark.read.option("wholetext", "true").text(path).first()[0]
+    return spark.read.text(path, wholetext=True).first()[0]
 
 
 def _structured(text: str, path: str):

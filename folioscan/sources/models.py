@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, FloatType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, StringType, StructField, StructType
 
 
 def embedder(make: Callable[[], Callable[[list[str]], list[list[float]]]], batch: int = 64):
@@ -55,9 +55,7 @@ def answered(prompts: DataFrame, make: Callable[[], Callable[[str], str]]) -> Da
                     error.append("Generation failed")
             yield pdf.assign(raw=pd.Series(raw, index=pdf.index, dtype=object), error=pd.Series(error, index=pdf.index, dtype=object))
 
-    from pyspark.sql.types import StructType
-
-    schema = StructType(prompts.schema.fields).add("raw", StringType()).add("error", StringType())
+    schema = StructType([*prompts.schema.fields, StructField("raw", StringType()), StructField("error", StringType())])
     return prompts.mapInPandas(call, schema)
 
 
