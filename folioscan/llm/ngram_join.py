@@ -1,7 +1,7 @@
 """An exact n-gram Jaccard join with count vectors in an R-tree, and its connected components.
 
 A document is the set of its distinct word n-grams. Equal sets are one class, which stands for all its
-documents. The hashes of a set are also dealt to ``GROUPS`` groups; the numbers in each group are a point,
+documents. The hashes of a set are also dealt to groups; the numbers in each group are a point,
 and the sum of the smaller coordinates of two points bounds the overlap of their sets. Points that may match
 are found with an R-tree whose boxes keep the largest coordinate of what is below: if even the boxes' sum of
 minima is less than the overlap that the threshold asks for, all their pairs are dropped at once. Pairs that
@@ -12,10 +12,12 @@ close together in so many dimensions. So trees are built over routes: two sets t
 share one of their ``n - ceil(t n) + 1`` smallest hashes, and sizes that differ by less than the factor t lie in
 one size band or next to its border. A route is such a hash with a band; its classes form one tree.
 
-Families of near copies are settled first: each class is verified against the class with which it shares most
-routes, and links are joined to components. Only classes of different components are then looked for in the
-trees, so that thousands of near copies never become all their pairs. Every pair of classes over the
-threshold is at the end either verified itself or inside one component.
+A route with two classes names one pair. Pairs of such routes, and of each class with the class with which it
+shares most of the larger routes, are settled first: by the number of routes that they can share at most, by
+their points, and on their sets; links are joined to components. Only then are trees built, over the larger
+routes that classes of several components share, and only pairs of different components are taken from
+them, so that thousands of near copies never become all their pairs. Every pair of classes over the threshold
+is at the end either verified itself or inside one component.
 
 Defined cases: a document without words, or of null text, has an empty set and is linked with nothing; rows
 that repeat are members of one class; a null ``doc_id`` gets the component of its class,
@@ -37,8 +39,8 @@ from folioscan.llm.exchange import cuts, dealt, pack, shard_count, unpack, writt
 from folioscan.llm.textblocks import Words, blocks, column, grams, mix, starts_of, within
 
 BLOCK_BYTES = 6 << 20
-#: Coordinates of a point.
-GROUPS = 64
+#: A point has about one coordinate for so many elements, as a power of two within these bounds.
+PER_GROUP, LEAST_GROUPS, MOST_GROUPS = 3, 64, 1 << 14
 #: Points in a leaf of a tree, and children of a node.
 LEAF = 32
 #: Members that one task verifies against a centre at a time.
@@ -77,11 +79,22 @@ def set_ids(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.where(size > 0, mix((total[at[1:]] - total[at[:-1]]) + size * _U(0x9E3779B97F4A7C15)) | _U(1), _U(0))
 
 
-def points(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Group counts of each set."""
-    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    cell = doc * GROUPS + (mix(hashes) >> _U(58)).astype(np.int64) % GROUPS
-    return np.bincount(cell, minlength=(len(at) - 1) * GROUPS).reshape(-1, GROUPS).astype(np.int32)
+def group_count(band: int, percent: int) -> int:
+    """Coordinates of the points of a size band, from the sizes it ends with."""
+    top = math.exp((band + 1) * 4 * math.log(100 / percent)) / PER_GROUP
+    return int(min(MOST_GROUPS, max(LEAST_GROUPS, 1 << math.ceil(math.log2(max(top, 1))))))
+
+
+def point(hashes: np.ndarray, groups: int) -> bytes:
+    """Group counts of a set; bytes if they are small, else four bytes each."""
+    found = np.bincount((mix(hashes) >> _U(64 - int(math.log2(groups)))).astype(np.int64), minlength=groups)
+    return found.astype(np.uint8 if found.max(initial=0) < 256 else np.uint32).tobytes()
+
+
+def read_point(data: bytes, stored: int, groups: int) -> np.ndarray:
+    """The point in ``groups`` coordinates, at most as many as are stored: neighbours are added up."""
+    found = np.frombuffer(data, np.uint8 if len(data) == stored else np.uint32).astype(np.int32)
+    return found.reshape(groups, -1).sum(1, dtype=np.int32)
 
 
 def needed(a, b, percent: int):
@@ -89,6 +102,17 @@ def needed(a, b, percent: int):
     return -(-(percent * (a + b)) // (100 + percent))
 
 
+def shared_routes(a, b, percent: int):
+    """How many routes two sets of these sizes share at least if they reach the threshold.
+
+    Of a set's first p hashes at most n - overlap are missing in the other; for the set whose first hashes
+    end earlier, those that are not missing are among the other's first hashes.
+    """
+    least = needed(a, b, percent)
+    own = lambda n: n - -(-percent * n // 100) + 1 - (n - least)
+    return np.maximum(1, np.minimum(own(a), own(b)))
+
+
 def bands(size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(size band, whether the next band up may hold partners)."""
     width = 4 * math.log(100 / percent)
@@ -98,7 +122,7 @@ def bands(size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _routes(n: int, percent: int, shards: int):
-    """Each block's classes: their members and points, and their routes packed by shard."""
+    """Each block's members and classes with their points, as rows; their routes packed by shard."""
 
     def block(table: pa.Table) -> pa.RecordBatch:
         hashes, at = shingle_sets(column(table, "text"), n)
@@ -108,22 +132,29 @@ def _routes(n: int, percent: int, shards: int):
         shard, blob = [0], [pack([np.zeros(1, np.int8), ids, doc_id.fill_null(0).to_numpy(zero_copy_only=False), none, size.astype(np.int32)])]
         own, first = np.unique(ids, return_index=True)
         first = first[own != 0]
-        # Of the members of a class only one sends routes.
+        # Of the members of a class only one sends routes and a point.
+        band, upper = bands(size[first], percent)
+        data = [point(hashes[at[d] : at[d + 1]], group_count(int(k), percent)) for d, k in zip(first, band + upper, strict=True)]
+        if len(first):
+            shard.append(0)
+            blob.append(pack([np.ones(1, np.int8), ids[first], size[first].astype(np.int32), np.array([len(x) for x in data], np.int32), np.frombuffer(b"".join(data), np.uint8)]))
         prefix = size[first] - -(-percent * size[first] // 100) + 1
         row = np.repeat(at[first], prefix) + within(prefix)
         which = np.repeat(first, prefix)
-        band, upper = bands(size[which], percent)
+        band, upper = np.repeat(band, prefix), np.repeat(upper, prefix)
         token = hashes[row]
         route = np.concatenate([mix(token + band.astype(_U)), mix(token[upper] + band[upper].astype(_U) + _U(1))])
-        which = np.concatenate([which, which[upper]])
+        which, band = np.concatenate([which, which[upper]]), np.concatenate([band, band[upper] + 1])
         by = np.argsort(route, kind="stable")
-        route, which = route[by], which[by]
+        route, which, band = route[by], which[by], band[by]
         edge = cuts(route, shards)
         for s in np.flatnonzero(np.diff(edge)):
             part = slice(edge[s], edge[s + 1])
             shard.append(int(s))
-            blob.append(pack([route[part], ids[which[part]], size[which[part]].astype(np.int32)]))
+            blob.append(pack([route[part], ids[which[part]], size[which[part]].astype(np.int32), band[part].astype(np.uint8)]))
         shard[0] = int(ids[0] % _U(shards)) if len(ids) else 0
+        if len(first):
+            shard[1] = shard[0]
         return pa.record_batch([pa.array(shard, pa.int32()), pa.array(blob, pa.binary())], ["shard", "data"])
 
     def routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,36 +164,54 @@ def _routes(n: int, percent: int, shards: int):
     return routes
 
 
-def _shared(percent: int):
-    """Of a shard: members (kind 0: id, doc_id, size) and routes with partners of a fitting size (kind 1: id, route, size)."""
+FOUND = "kind int, id long, value long, size int, other int, point binary"
 
-    def rows(kind, ids, value, size):
-        for k in range(0, len(ids), 50_000):
-            part = slice(k, k + 50_000)
+
+def _shared(percent: int):
+    """Of a shard, rows of FOUND: members (0: id, value doc_id, size), classes (1: id, size, point), pairs of routes
+    with two classes (2: id, value the other's id, both sizes), and classes of larger routes (3: id, value route,
+    size, other the band). Classes without a partner of a fitting size in their route are left out."""
+    names = [f.split()[0] for f in FOUND.split(", ")]
+
+    def rows(kind, ids, value, size, other, data=None):
+        for k in range(0, len(ids), 20_000):
+            part = slice(k, k + 20_000)
             count = len(ids[part])
-            yield pa.record_batch([pa.array(np.full(count, kind), pa.int32()), pa.array(ids[part].view(np.int64)), value[part] if isinstance(value, pa.Array) else pa.array(value[part].view(np.int64)), pa.array(size[part].astype(np.int32))], ["kind", "id", "value", "size"])
+            value_ = value[part] if isinstance(value, pa.Array) else pa.array(value[part].view(np.int64))
+            yield pa.record_batch([pa.array(np.full(count, kind, np.int32)), pa.array(ids[part].view(np.int64)), value_, pa.array(size[part].astype(np.int32)), pa.array(other[part].astype(np.int32)), pa.nulls(count, pa.binary()) if data is None else pa.array(data[part], pa.binary())], names)
 
     def one(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         held = []
         for blob in blobs:
             x = unpack(blob)
-            if x[0].dtype == np.int8:
-                yield from rows(0, x[1], pa.array(x[2], mask=x[3].astype(bool)), x[4])
+            if x[0].dtype == np.int8 and x[0][0] == 0:
+                yield from rows(0, x[1], pa.array(x[2], mask=x[3].astype(bool)), x[4], np.zeros(len(x[1])))
+            elif x[0].dtype == np.int8:
+                cut, data = starts_of(x[3]), x[4].tobytes()
+                yield from rows(1, x[1], x[1], x[2], np.zeros(len(x[1])), [data[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)])
             else:
                 held.append(x)
         if not held:
             return
-        route, ids, size = (np.concatenate(x) for x in zip(*held, strict=True))
+        route, ids, size, band = (np.concatenate(x) for x in zip(*held, strict=True))
         by = np.lexsort((ids, size, route))
-        route, ids, size = route[by], ids[by], size[by].astype(np.int64)
+        route, ids, size, band = route[by], ids[by], size[by].astype(np.int64), band[by]
         new = np.ones(len(ids), bool)
         new[1:] = (route[1:] != route[:-1]) | (ids[1:] != ids[:-1]) | (size[1:] != size[:-1])
-        route, ids, size = route[new], ids[new], size[new]
+        route, ids, size, band = route[new], ids[new], size[new], band[new]
         near = (route[1:] == route[:-1]) & (size[:-1] * 100 >= percent * size[1:])
-        held_ = np.zeros(len(ids), bool)
-        held_[1:] |= near
-        held_[:-1] |= near
-        yield from rows(1, ids[held_], route[held_], size[held_])
+        fits = np.zeros(len(ids), bool)
+        fits[1:] |= near
+        fits[:-1] |= near
+        route, ids, size, band = route[fits], ids[fits], size[fits], band[fits]
+        cut = np.flatnonzero(np.append(True, route[1:] != route[:-1])) if len(route) else np.zeros(0, np.int64)
+        count = np.diff(np.append(cut, len(route)))
+        two = cut[count == 2]
+        swap = ids[two] > ids[two + 1]
+        a, b = np.where(swap, two + 1, two), np.where(swap, two, two + 1)
+        yield from rows(2, ids[a], ids[b], size[a], size[b])
+        more = np.repeat(count > 2, count)
+        yield from rows(3, ids[more], route[more], size[more], band[more])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, of = [], None
@@ -226,12 +275,32 @@ class CountTree:
         return x[good], y[good]
 
 
+def _stored(size: int, percent: int) -> int:
+    """Coordinates of the stored point of a set of this size."""
+    band, upper = bands(np.array([size]), percent)
+    return group_count(int(band[0] + upper[0]), percent)
+
+
+def _bounded(percent: int):
+    """Of pairs with both points those whose bound reaches the threshold."""
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = (column(batch, x).to_numpy() for x in ("size_a", "size_b"))
+            keep = np.zeros(len(na), bool)
+            for k, (x, y, p, q) in enumerate(zip(na, nb, column(batch, "point_a").to_pylist(), column(batch, "point_b").to_pylist(), strict=True)):
+                s, t = _stored(int(x), percent), _stored(int(y), percent)
+                groups = min(s, t)
+                keep[k] = np.minimum(read_point(p, s, groups), read_point(q, t, groups)).sum() >= needed(int(x), int(y), percent)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return bounded
+
+
 def _searched(percent: int):
     """Candidate pairs of each route: the classes of one route come together, sorted."""
 
     def one(ids, size, apart, vectors):
-        if len(ids) < 2 or (apart == apart[0]).all():
-            return None
         i, j = CountTree(vectors, size).pairs(percent, apart)
         lo, hi = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
         return np.unique(np.stack([lo, hi], 1), axis=0) if len(lo) else None
@@ -241,10 +310,16 @@ def _searched(percent: int):
 
         def settle(table: pa.Table) -> Iterator[pa.RecordBatch]:
             route = column(table, "route").to_numpy()
-            ids, size, apart = (column(table, x).to_numpy() for x in ("id", "size", "component"))
-            vectors = np.frombuffer(b"".join(column(table, "point").to_pylist()), np.int32).reshape(-1, GROUPS)
+            ids, size, apart, band = (column(table, x).to_numpy() for x in ("id", "size", "component", "band"))
+            data = column(table, "point")
             cut = np.append(np.flatnonzero(np.append(True, route[1:] != route[:-1])), len(route))
-            out = [x for a, b in zip(cut[:-1], cut[1:], strict=True) if (x := one(ids[a:b], size[a:b], apart[a:b], vectors[a:b])) is not None]
+            out = []
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                if (apart[a:b] != apart[a]).any():
+                    groups = group_count(int(band[a]), percent)
+                    vectors = np.stack([read_point(x, _stored(int(n), percent), groups) for x, n in zip(data[a:b].to_pylist(), size[a:b], strict=True)])
+                    if (x := one(ids[a:b], size[a:b], apart[a:b], vectors)) is not None:
+                        out.append(x)
             if out:
                 both = np.unique(np.concatenate(out), axis=0)
                 for k in range(0, len(both), 100_000):
@@ -265,34 +340,6 @@ def _searched(percent: int):
     return searched
 
 
-def _delivered(n: int):
-    """For each document and each of its deliveries a row (centre, chunk, role, id, set)."""
-
-    def delivered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in blocks(batches, BLOCK_BYTES):
-            hashes, at = shingle_sets(column(table, "text"), n)
-            ids = column(table, "id").to_pylist()
-            own = set_ids(hashes, at).view(np.int64)  # another row may have the class's document id
-            rows = [[], [], [], [], []]
-            size = 0
-            for d, sends in enumerate(column(table, "sends").to_pylist()):
-                data = hashes[at[d] : at[d + 1]].tobytes()
-                for send in sends if own[d] == ids[d] else ():
-                    for x, v in zip(rows, (send["centre"], send["chunk"], send["role"], ids[d], data), strict=True):
-                        x.append(v)
-                    size += len(data)
-                if size > 4 << 20:
-                    yield _sets(rows)
-                    rows, size = [[], [], [], [], []], 0
-            yield _sets(rows)
-
-    return delivered
-
-
-def _sets(rows) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.int64()), pa.array(rows[4], pa.binary())], ["centre", "chunk", "role", "id", "set"])
-
-
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
     """The number of common elements of two sorted sets."""
     if not len(a) or not len(b):
@@ -301,17 +348,21 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(a[at] == b))
 
 
-def _verified(percent: int):
-    """Rows sorted by centre, chunk and role: the centre's set comes first, then each member's."""
+def _verified(n: int, percent: int):
+    """Rows sorted by centre, chunk and role: the centre's text comes first, then each member's."""
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, own = None, None
-        for batch in batches:
+        for table in blocks(batches, BLOCK_BYTES):
+            hashes, at = shingle_sets(column(table, "text"), n)
+            ids = set_ids(hashes, at).view(np.int64)
             a, b = [], []
-            for centre, chunk, role, other, data in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                value = np.frombuffer(data, _U)
+            for k, (centre, chunk, role, other) in enumerate(zip(*(column(table, x).to_pylist() for x in ("centre", "chunk", "role", "id")), strict=True)):
+                if ids[k] != other:  # another row with the document id of the class
+                    continue
+                value = hashes[at[k] : at[k + 1]]
                 if role == 0:
-                    of, own = (centre, chunk), value
+                    of, own = (centre, chunk), value.copy()
                 elif of == (centre, chunk):
                     common = overlap(own, value)
                     if 100 * common >= percent * (len(own) + len(value) - common):
@@ -323,18 +374,18 @@ def _verified(percent: int):
 
 
 def verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) of classes those that reach the threshold, a as the centre of its chunks of members."""
+    """Of pairs (a, b) of classes those that reach the threshold, in either order. Of a pair the class of more pairs
+    is the centre, which is sent once to each chunk of about CHUNK members."""
+    ends = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("pairs"))
+    told = pairs.join(ends.select(F.col("id").alias("a"), F.col("pairs").alias("of_a")), "a").join(ends.select(F.col("id").alias("b"), F.col("pairs").alias("of_b")), "b")
+    turn = F.col("of_b") > F.col("of_a")
+    pairs = told.select(F.when(turn, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("b"))
     chunks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
-    named = pairs.join(chunks, "a")
-    members = named.select(F.col("b").alias("id"), F.col("a").alias("centre"), F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("role"))
+    members = pairs.join(chunks, "a").select(F.col("b").alias("id"), F.col("a").alias("centre"), F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("role"))
     centres = chunks.select(F.col("a").alias("id"), F.col("a").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("role"))
-    sends = members.unionByName(centres).withColumn("part", F.pmod(F.xxhash64("centre", "chunk"), F.when(F.col("role") == 0, 64).otherwise(1)).cast("int"))
-    # A centre of many chunks is delivered in parts of its own.
-    sends = sends.groupBy("id", "part").agg(F.collect_list(F.struct("centre", "chunk", "role")).alias("sends"))
-    wanted = sends.join(classes.select("id", "first_doc"), "id")
-    texts = docs.select(F.col("doc_id").cast("long").alias("first_doc"), "text").join(wanted, "first_doc").select("id", "text", "sends")
-    sets = texts.mapInArrow(_delivered(n), "centre long, chunk int, role int, id long, set binary")
-    return sets.repartition("centre", "chunk").sortWithinPartitions("centre", "chunk", "role").mapInArrow(_verified(percent), "a long, b long")
+    sends = members.unionByName(centres).join(classes.select("id", "first_doc"), "id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("first_doc"), "text").join(sends, "first_doc").select("id", "centre", "chunk", "role", "text")
+    return texts.repartition("centre", "chunk").sortWithinPartitions("centre", "chunk", "role").mapInArrow(_verified(n, percent), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -360,15 +411,10 @@ def components(links: DataFrame) -> DataFrame:
     return names
 
 
-def _pointed(n: int):
-    def pointed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in blocks(batches, BLOCK_BYTES):
-            hashes, at = shingle_sets(column(table, "text"), n)
-            found = points(hashes, at)
-            own = set_ids(hashes, at).view(np.int64) == column(table, "id").to_numpy()
-            yield pa.record_batch([column(table, "id").filter(pa.array(own)), pa.array([x.tobytes() for x in found[own]], pa.binary())], ["id", "point"])
-
-    return pointed
+def bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes that their points do not rule out."""
+    side = lambda x: points.select(F.col("id").alias(x), F.col("size").alias(f"size_{x}"), F.col("point").alias(f"point_{x}"))
+    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInArrow(_bounded(percent), "a long, b long")
 
 
 def linked_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
@@ -377,26 +423,32 @@ def linked_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFra
     shards = shard_count(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sent = docs.mapInArrow(_routes(n, percent, shards), "shard int, data binary")
-    found = written(dealt(sent).mapInArrow(_shared(percent), "kind int, id long, value long, size int"), "routes")
+    found = written(dealt(sent).mapInArrow(_shared(percent), FOUND), "routes")
     members = found.where("kind = 0").select("id", F.col("value").alias("doc_id"), "size")
     classes = members.where("id <> 0").groupBy("id").agg(F.min("doc_id").alias("first_doc"))
-    routes = found.where("kind = 1").select("id", F.col("value").alias("route"), "size")
-    # Families first: the partner with most common routes, of the smallest of each route.
+    points = found.where("kind = 1").groupBy("id").agg(F.first("size").alias("size"), F.first("point").alias("point"))
+    routes = found.where("kind = 3").select("id", F.col("value").alias("route"), "size", F.col("other").alias("band"))
+    # Pairs of routes with two classes: they must share enough routes, larger ones counted as shared.
+    larger = routes.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    twos = found.where("kind = 2").groupBy(F.col("id").alias("a"), F.col("value").alias("b")).agg(F.count(F.lit(1)).alias("own"), F.first("size").alias("size_a"), F.first("other").alias("size_b"))
+    twos = twos.join(larger.select(F.col("id").alias("a"), F.col("n").alias("more_a")), "a", "left").join(larger.select(F.col("id").alias("b"), F.col("n").alias("more_b")), "b", "left")
+    most = F.col("own") + F.least(F.coalesce("more_a", F.lit(0)), F.coalesce("more_b", F.lit(0)))
+    twos = twos.where(most >= _least_routes(percent)).select("a", "b")
+    # Larger routes: the partner with most common routes among the smallest classes of each.
     centres = routes.groupBy("route").agg(F.min(F.struct("size", "id")).alias("centre"))
     shares = routes.join(centres, "route").where(F.col("id") != F.col("centre.id")).where(F.col("centre.size") * 100 >= F.col("size") * percent)
     shares = shares.groupBy("id", F.col("centre.id").alias("centre")).agg(F.count(F.lit(1)).alias("n"))
     stars = shares.groupBy("id").agg(F.max(F.struct("n", "centre")).alias("best")).select(F.col("best.centre").alias("a"), F.col("id").alias("b"))
-    links = written(verify(docs, stars, classes, n, percent), "links")
+    first = written(bounded(twos.unionByName(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct(), points, percent), "pairs")
+    links = written(verify(docs, first, classes, n, percent), "links")
     names = components(links)
-    # What is left: routes that classes of several components share.
+    # What is left: larger routes that classes of several components share.
     told = routes.join(names, "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_ = told.groupBy("route").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("route")
-    left = written(told.join(open_, "route", "left_semi"), "open")
-    wanted = left.select("id").distinct().join(classes, "id")
-    texts = docs.join(wanted, docs.doc_id == wanted.first_doc).select("id", "text")
-    vectors = texts.mapInArrow(_pointed(n), "id long, point binary")
-    ready = left.join(vectors.dropDuplicates(["id"]), "id").repartition("route").sortWithinPartitions("route", "size", "id")
-    pairs = ready.select("route", "id", "size", "component", "point").mapInArrow(_searched(percent), "a long, b long").distinct()
+    left = told.join(open_, "route", "left_semi")
+    ready = left.join(points.select("id", "point"), "id").select("route", "id", "size", "component", "band", "point")
+    ready = ready.repartition("route").sortWithinPartitions("route", "size", "id")
+    pairs = ready.mapInArrow(_searched(percent), "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
     more = written(verify(docs, written(pairs, "pairs"), classes, n, percent), "links")
     names = components(links.union(more))
     placed = members.join(names, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -405,6 +457,15 @@ def linked_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFra
     return out.select("doc_id", F.col("size").cast("long").alias("n_shingles"), F.when(F.col("id") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.col("id").alias("class_id"))
 
 
+def _least_routes(percent: int):
+    """shared_routes() of the columns size_a and size_b."""
+    a, b = F.col("size_a").cast("long"), F.col("size_b").cast("long")
+    up = lambda x, by: F.floor((x + by - 1) / by)  # noqa: E731  exact below 2^53
+    least = up((a + b) * percent, 100 + percent)
+    own = lambda n: n - up(n * percent, 100) + 1 - (n - least)
+    return F.greatest(F.lit(1), F.least(own(a), own(b)))
+
+
 def representatives(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component, the one with the smallest id, with all its columns; those without an id stay."""
     drop = linked_components(docs, n, percent).where("component_id < doc_id").select(F.col("doc_id").alias("id")).distinct()
