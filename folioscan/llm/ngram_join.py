@@ -12,12 +12,14 @@ close together in so many dimensions. So trees are built over routes: two sets t
 share one of their ``n - ceil(t n) + 1`` smallest hashes, and sizes that differ by less than the factor t lie in
 one size band or next to its border. A route is such a hash with a band; its classes form one tree.
 
-A route with two classes names one pair. Pairs of such routes, and of each class with the class with which it
-shares most of the larger routes, are settled first: by the number of routes that they can share at most, by
-their points, and on their sets; links are joined to components. Only then are trees built, over the larger
-routes that classes of several components share, and only pairs of different components are taken from
-them, so that thousands of near copies never become all their pairs. Every pair of classes over the threshold
-is at the end either verified itself or inside one component.
+A route with two classes names one pair, which is tried if the two can share enough routes. In the tree of a
+larger route every class finds the other that its bound brings nearest, if any reaches the threshold. These
+pairs are verified first, and links are joined to components. Then the trees are searched again, over the
+places that had any partner and routes with several components, for all pairs of different components. So
+thousands of near copies, which are one component by then, never become all their pairs; and every pair of
+classes over the threshold is at the end either verified itself or inside one component. As hashes are
+sorted, the first that two sets share stands behind misses only, so a pair is looked at only in routes that
+stand early enough in both.
 
 Defined cases: a document without words, or of null text, has an empty set and is linked with nothing; rows
 that repeat are members of one class; a null ``doc_id`` gets the component of its class,
@@ -27,6 +29,7 @@ ignored. Classes are told apart by 64 bits of hash together with their size.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -40,9 +43,13 @@ from folioscan.llm.textblocks import Words, blocks, column, grams, mix, starts_o
 
 BLOCK_BYTES = 6 << 20
 #: A point has about one coordinate for so many elements, as a power of two within these bounds.
-PER_GROUP, LEAST_GROUPS, MOST_GROUPS = 3, 64, 1 << 14
+PER_GROUP, LEAST_GROUPS, MOST_GROUPS = 2, 64, 1 << 14
+#: More than there are size bands.
+BANDS = 256
 #: Points in a leaf of a tree, and children of a node.
 LEAF = 32
+#: Pairs that a tree looks at together.
+STEP = 1 << 14
 #: Members that one task verifies against a centre at a time.
 CHUNK = 256
 _U = np.uint64
@@ -79,6 +86,7 @@ def set_ids(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.where(size > 0, mix((total[at[1:]] - total[at[:-1]]) + size * _U(0x9E3779B97F4A7C15)) | _U(1), _U(0))
 
 
+@functools.cache
 def group_count(band: int, percent: int) -> int:
     """Coordinates of the points of a size band, from the sizes it ends with."""
     top = math.exp((band + 1) * 4 * math.log(100 / percent)) / PER_GROUP
@@ -93,8 +101,8 @@ def point(hashes: np.ndarray, groups: int) -> bytes:
 
 def read_point(data: bytes, stored: int, groups: int) -> np.ndarray:
     """The point in ``groups`` coordinates, at most as many as are stored: neighbours are added up."""
-    found = np.frombuffer(data, np.uint8 if len(data) == stored else np.uint32).astype(np.int32)
-    return found.reshape(groups, -1).sum(1, dtype=np.int32)
+    found = np.frombuffer(data, np.uint8 if len(data) == stored else np.uint32)
+    return found if len(found) == groups else found.reshape(groups, -1).sum(1, dtype=np.uint32)
 
 
 def needed(a, b, percent: int):
@@ -141,17 +149,17 @@ def _routes(n: int, percent: int, shards: int):
         prefix = size[first] - -(-percent * size[first] // 100) + 1
         row = np.repeat(at[first], prefix) + within(prefix)
         which = np.repeat(first, prefix)
-        band, upper = np.repeat(band, prefix), np.repeat(upper, prefix)
+        band, upper, place = np.repeat(band, prefix), np.repeat(upper, prefix), within(prefix)
         token = hashes[row]
         route = np.concatenate([mix(token + band.astype(_U)), mix(token[upper] + band[upper].astype(_U) + _U(1))])
-        which, band = np.concatenate([which, which[upper]]), np.concatenate([band, band[upper] + 1])
+        which, band, place = np.concatenate([which, which[upper]]), np.concatenate([band, band[upper] + 1]), np.concatenate([place, place[upper]])
         by = np.argsort(route, kind="stable")
-        route, which, band = route[by], which[by], band[by]
+        route, which, other = route[by], which[by], (place * BANDS + band)[by]
         edge = cuts(route, shards)
         for s in np.flatnonzero(np.diff(edge)):
             part = slice(edge[s], edge[s + 1])
             shard.append(int(s))
-            blob.append(pack([route[part], ids[which[part]], size[which[part]].astype(np.int32), band[part].astype(np.uint8)]))
+            blob.append(pack([route[part], ids[which[part]], size[which[part]].astype(np.int32), other[part].astype(np.int32)]))
         shard[0] = int(ids[0] % _U(shards)) if len(ids) else 0
         if len(first):
             shard[1] = shard[0]
@@ -170,7 +178,7 @@ FOUND = "kind int, id long, value long, size int, other int, point binary"
 def _shared(percent: int):
     """Of a shard, rows of FOUND: members (0: id, value doc_id, size), classes (1: id, size, point), pairs of routes
     with two classes (2: id, value the other's id, both sizes), and classes of larger routes (3: id, value route,
-    size, other the band). Classes without a partner of a fitting size in their route are left out."""
+    size, other the hash's place in the set times BANDS, plus the size band). Classes without a partner of a fitting size in their route are left out."""
     names = [f.split()[0] for f in FOUND.split(", ")]
 
     def rows(kind, ids, value, size, other, data=None):
@@ -193,17 +201,17 @@ def _shared(percent: int):
                 held.append(x)
         if not held:
             return
-        route, ids, size, band = (np.concatenate(x) for x in zip(*held, strict=True))
+        route, ids, size, other = (np.concatenate(x) for x in zip(*held, strict=True))
         by = np.lexsort((ids, size, route))
-        route, ids, size, band = route[by], ids[by], size[by].astype(np.int64), band[by]
+        route, ids, size, other = route[by], ids[by], size[by].astype(np.int64), other[by]
         new = np.ones(len(ids), bool)
         new[1:] = (route[1:] != route[:-1]) | (ids[1:] != ids[:-1]) | (size[1:] != size[:-1])
-        route, ids, size, band = route[new], ids[new], size[new], band[new]
+        route, ids, size, other = route[new], ids[new], size[new], other[new]
         near = (route[1:] == route[:-1]) & (size[:-1] * 100 >= percent * size[1:])
         fits = np.zeros(len(ids), bool)
         fits[1:] |= near
         fits[:-1] |= near
-        route, ids, size, band = route[fits], ids[fits], size[fits], band[fits]
+        route, ids, size, other = route[fits], ids[fits], size[fits], other[fits]
         cut = np.flatnonzero(np.append(True, route[1:] != route[:-1])) if len(route) else np.zeros(0, np.int64)
         count = np.diff(np.append(cut, len(route)))
         two = cut[count == 2]
@@ -211,7 +219,7 @@ def _shared(percent: int):
         a, b = np.where(swap, two + 1, two), np.where(swap, two, two + 1)
         yield from rows(2, ids[a], ids[b], size[a], size[b])
         more = np.repeat(count > 2, count)
-        yield from rows(3, ids[more], route[more], size[more], band[more])
+        yield from rows(3, ids[more], route[more], size[more], other[more])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, of = [], None
@@ -230,39 +238,54 @@ def _shared(percent: int):
 class CountTree:
     """A packed R-tree of count vectors; boxes keep the largest coordinates, as minima of sums need only these."""
 
-    def __init__(self, vectors: np.ndarray, size: np.ndarray):
-        # Along the size first, as the threshold bounds it; then by the heaviest coordinates, so boxes stay small.
+    def __init__(self, vectors: np.ndarray, size: np.ndarray, place: np.ndarray | None = None):
+        # Along the size first, as the threshold bounds it; then by the first coordinates, so boxes stay small.
         self.order = np.lexsort((*vectors[:, :3].T, size))
-        self.vectors, self.size = vectors[self.order], size[self.order]
+        self.vectors, self.size = vectors[self.order], size[self.order].astype(np.int64)
+        self.place = np.zeros(len(size), np.int64) if place is None else place[self.order]
         self.levels = [(self.vectors, self.size, self.size)]
-        while len(self.levels[-1][0]) > 1:
+        while len(self.levels[-1][0]) > LEAF or len(self.levels) == 1:
             top, low, high = self.levels[-1]
             cut = np.arange(0, len(top), LEAF)
             self.levels.append((np.maximum.reduceat(top, cut), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut)))
+        # Of a point the sum behind its first quarter of coordinates.
+        self.quarter = vectors.shape[1] // 4
+        self.rest = self.vectors[:, self.quarter :].sum(1, dtype=np.int64)
 
-    def pairs(self, percent: int, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (i < j) of the points given whose bound reaches the threshold and whose ``apart`` differ."""
+    def survivors(self, percent: int, apart: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Pairs (i, j) of the points given whose bound reaches the threshold and whose ``apart`` differ, with the
+        bound, in parts. Nodes are gone through in parts too, so that memory stays small for any number of points."""
         apart = apart[self.order]
-        a = b = np.zeros(1, np.int64)
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        for level in range(len(self.levels) - 1, -1, -1):
-            top, low, high = self.levels[level]
-            if level < len(self.levels) - 1:
-                a, b = self._below(a, b, len(top))
-            keep = []
-            for k in range(0, len(a), 20_000):
-                x, y = a[k : k + 20_000], b[k : k + 20_000]
-                # Boxes: some sizes within must fit, and the sum of minima reach the least overlap that they ask for.
-                fits = (high[y] * 100 >= percent * low[x]) & (high[x] * 100 >= percent * low[y])
-                if level == 0:
-                    fits &= (x < y) & (apart[x] != apart[y])
+        top = len(self.levels) - 1
+        count = len(self.levels[top][0])
+        a, b = np.triu_indices(count)
+        yield from self._within(top, a.astype(np.int64), b.astype(np.int64), percent, apart)
+
+    def _within(self, level: int, a: np.ndarray, b: np.ndarray, percent: int, apart: np.ndarray):
+        top, low, high = self.levels[level]
+        for k in range(0, len(a), STEP):
+            x, y = a[k : k + STEP], b[k : k + STEP]
+            # Some sizes within must fit, and the sum of minima reach the least overlap that they ask for.
+            fits = (high[y] * 100 >= percent * low[x]) & (high[x] * 100 >= percent * low[y])
+            least = needed(low[x], low[y], percent)
+            if level == 0:
+                fits &= (x < y) & (apart[x] != apart[y]) & (self.place[x] <= self.size[x] - least) & (self.place[y] <= self.size[y] - least)
                 i = np.flatnonzero(fits)
-                least = needed(low[x[i]].astype(np.int64), low[y[i]].astype(np.int64), percent)
-                keep.append(k + i[np.minimum(top[x[i]], top[y[i]]).sum(1) >= least])
-            keep = np.concatenate(keep) if keep else np.zeros(0, np.int64)
-            a, b = a[keep], b[keep]
-        found.append((self.order[a], self.order[b]))
-        return found[0]
+                part = np.minimum(top[x[i], : self.quarter], top[y[i], : self.quarter]).sum(1, dtype=np.int64)
+                i = i[part + np.minimum(self.rest[x[i]], self.rest[y[i]]) >= least[i]]
+            else:
+                i = np.flatnonzero(fits)
+            bound = np.minimum(top[x[i]], top[y[i]]).sum(1, dtype=np.int64)
+            good = bound >= least[i]
+            i, bound = i[good], bound[good]
+            if level == 0:
+                if len(i):
+                    yield self.order[x[i]], self.order[y[i]], bound
+            elif len(i):
+                # A node pair has LEAF * LEAF pairs below.
+                for m in range(0, len(i), max(1, STEP // LEAF)):
+                    part = i[m : m + max(1, STEP // LEAF)]
+                    yield from self._within(level - 1, *self._below(x[part], y[part], len(self.levels[level - 1][0])), percent, apart)
 
     @staticmethod
     def _below(a: np.ndarray, b: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -275,6 +298,24 @@ class CountTree:
         return x[good], y[good]
 
 
+def nearest(tree: CountTree, percent: int) -> np.ndarray:
+    """For each point the other one whose bound gives the largest similarity, -1 if none reaches the threshold."""
+    count = len(tree.size)
+    size = np.empty(count, np.int64)
+    size[tree.order] = tree.size
+    best, other = np.zeros(count), np.full(count, -1)
+    for i, j, bound in tree.survivors(percent, np.arange(count)):
+        score = bound / (size[i] + size[j] - bound)
+        row, partner, score = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([score, score])
+        by = np.lexsort((partner, score, row))
+        last = by[np.append(row[by][1:] != row[by][:-1], True)]
+        better = score[last] > best[row[last]]
+        row, last = row[last][better], last[better]
+        best[row], other[row] = score[last], partner[last]
+    return other
+
+
+@functools.lru_cache(1 << 16)
 def _stored(size: int, percent: int) -> int:
     """Coordinates of the stored point of a set of this size."""
     band, upper = bands(np.array([size]), percent)
@@ -291,40 +332,55 @@ def _bounded(percent: int):
             for k, (x, y, p, q) in enumerate(zip(na, nb, column(batch, "point_a").to_pylist(), column(batch, "point_b").to_pylist(), strict=True)):
                 s, t = _stored(int(x), percent), _stored(int(y), percent)
                 groups = min(s, t)
-                keep[k] = np.minimum(read_point(p, s, groups), read_point(q, t, groups)).sum() >= needed(int(x), int(y), percent)
+                keep[k] = np.minimum(read_point(p, s, groups), read_point(q, t, groups)).sum(dtype=np.int64) >= needed(int(x), int(y), percent)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return bounded
 
 
-def _searched(percent: int):
-    """Candidate pairs of each route: the classes of one route come together, sorted."""
+def _searched(percent: int, first: bool):
+    """Rows sorted by route, with the classes of one route together.
 
-    def one(ids, size, apart, vectors):
-        i, j = CountTree(vectors, size).pairs(percent, apart)
-        lo, hi = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
-        return np.unique(np.stack([lo, hi], 1), axis=0) if len(lo) else None
+    ``first``: each class's nearest partner (kind 0, a, b), and the places that had one (kind 1, id, route).
+    Else all pairs of different components (kind 0).
+    """
+
+    def one(ids, size, place, apart, vectors, route):
+        tree = CountTree(vectors, size, place)
+        if first:
+            other = nearest(tree, percent)
+            i = np.flatnonzero(other >= 0)
+            pairs = np.unique(np.sort(np.stack([ids[i], ids[other[i]]], 1), axis=1), axis=0)
+            alive = np.unique(np.concatenate([i, other[i]]))
+            yield 0, pairs[:, 0], pairs[:, 1]
+            yield 1, ids[alive], np.full(len(alive), route)
+        else:
+            for i, j, _ in tree.survivors(percent, apart):
+                yield 0, np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+
+    def settle(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        route, ids, size, apart, other = (column(table, x).to_numpy() for x in ("route", "id", "size", "component", "other"))
+        data = column(table, "point")
+        cut = np.append(np.flatnonzero(np.append(True, route[1:] != route[:-1])), len(route))
+        held: list[list] = [[], [], []]
+        count = 0
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            if not first and (apart[a:b] == apart[a]).all():
+                continue
+            groups = group_count(int(other[a] % BANDS), percent)
+            vectors = np.stack([read_point(x, _stored(int(n), percent), groups) for x, n in zip(data[a:b].to_pylist(), size[a:b].tolist(), strict=True)])
+            for kind, x, y in one(ids[a:b], size[a:b], other[a:b] // BANDS, apart[a:b], vectors, route[a]):
+                for own, v in zip(held, (np.full(len(x), kind, np.int32), x, y), strict=True):
+                    own.append(v)
+                count += len(x)
+                if count > 100_000:
+                    yield pa.record_batch([pa.array(np.concatenate(v)) for v in held], ["kind", "a", "b"])
+                    held, count = [[], [], []], 0
+        if count:
+            yield pa.record_batch([pa.array(np.concatenate(v)) for v in held], ["kind", "a", "b"])
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
-
-        def settle(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            route = column(table, "route").to_numpy()
-            ids, size, apart, band = (column(table, x).to_numpy() for x in ("id", "size", "component", "band"))
-            data = column(table, "point")
-            cut = np.append(np.flatnonzero(np.append(True, route[1:] != route[:-1])), len(route))
-            out = []
-            for a, b in zip(cut[:-1], cut[1:], strict=True):
-                if (apart[a:b] != apart[a]).any():
-                    groups = group_count(int(band[a]), percent)
-                    vectors = np.stack([read_point(x, _stored(int(n), percent), groups) for x, n in zip(data[a:b].to_pylist(), size[a:b], strict=True)])
-                    if (x := one(ids[a:b], size[a:b], apart[a:b], vectors)) is not None:
-                        out.append(x)
-            if out:
-                both = np.unique(np.concatenate(out), axis=0)
-                for k in range(0, len(both), 100_000):
-                    yield pa.record_batch([pa.array(both[k : k + 100_000, 0]), pa.array(both[k : k + 100_000, 1])], ["a", "b"])
-
         for batch in batches:
             table = pa.Table.from_batches([batch])
             if rest is not None:
@@ -417,6 +473,12 @@ def bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInArrow(_bounded(percent), "a long, b long")
 
 
+def _trees(routes: DataFrame, points: DataFrame, percent: int, first: bool) -> DataFrame:
+    """The search of every route's tree. Rows: id, route, size, other, component."""
+    ready = routes.join(points.select("id", "point"), "id").select("route", "id", "size", "component", "other", "point")
+    return ready.repartition("route").sortWithinPartitions("route", "size", "id").mapInArrow(_searched(percent, first), "kind int, a long, b long")
+
+
 def linked_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach), class_id."""
     spark = docs.sparkSession
@@ -427,28 +489,23 @@ def linked_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFra
     members = found.where("kind = 0").select("id", F.col("value").alias("doc_id"), "size")
     classes = members.where("id <> 0").groupBy("id").agg(F.min("doc_id").alias("first_doc"))
     points = found.where("kind = 1").groupBy("id").agg(F.first("size").alias("size"), F.first("point").alias("point"))
-    routes = found.where("kind = 3").select("id", F.col("value").alias("route"), "size", F.col("other").alias("band"))
+    routes = found.where("kind = 3").select("id", F.col("value").alias("route"), "size", "other")
     # Pairs of routes with two classes: they must share enough routes, larger ones counted as shared.
     larger = routes.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     twos = found.where("kind = 2").groupBy(F.col("id").alias("a"), F.col("value").alias("b")).agg(F.count(F.lit(1)).alias("own"), F.first("size").alias("size_a"), F.first("other").alias("size_b"))
     twos = twos.join(larger.select(F.col("id").alias("a"), F.col("n").alias("more_a")), "a", "left").join(larger.select(F.col("id").alias("b"), F.col("n").alias("more_b")), "b", "left")
     most = F.col("own") + F.least(F.coalesce("more_a", F.lit(0)), F.coalesce("more_b", F.lit(0)))
-    twos = twos.where(most >= _least_routes(percent)).select("a", "b")
-    # Larger routes: the partner with most common routes among the smallest classes of each.
-    centres = routes.groupBy("route").agg(F.min(F.struct("size", "id")).alias("centre"))
-    shares = routes.join(centres, "route").where(F.col("id") != F.col("centre.id")).where(F.col("centre.size") * 100 >= F.col("size") * percent)
-    shares = shares.groupBy("id", F.col("centre.id").alias("centre")).agg(F.count(F.lit(1)).alias("n"))
-    stars = shares.groupBy("id").agg(F.max(F.struct("n", "centre")).alias("best")).select(F.col("best.centre").alias("a"), F.col("id").alias("b"))
-    first = written(bounded(twos.unionByName(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct(), points, percent), "pairs")
+    twos = bounded(twos.where(most >= _least_routes(percent)).select("a", "b"), points, percent)
+    # Larger routes: each class's nearest partner.
+    near = written(_trees(routes.withColumn("component", F.col("id")), points, percent, True), "near")
+    first = written(near.where("kind = 0").select("a", "b").unionByName(twos).distinct(), "pairs")
     links = written(verify(docs, first, classes, n, percent), "links")
     names = components(links)
-    # What is left: larger routes that classes of several components share.
-    told = routes.join(names, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    # All pairs of different components, in the routes and places that had any.
+    alive = near.where("kind = 1").select(F.col("a").alias("id"), F.col("b").alias("route"))
+    told = routes.join(alive, ["id", "route"], "left_semi").join(names, "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_ = told.groupBy("route").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("route")
-    left = told.join(open_, "route", "left_semi")
-    ready = left.join(points.select("id", "point"), "id").select("route", "id", "size", "component", "band", "point")
-    ready = ready.repartition("route").sortWithinPartitions("route", "size", "id")
-    pairs = ready.mapInArrow(_searched(percent), "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
+    pairs = _trees(told.join(open_, "route", "left_semi"), points, percent, False).select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
     more = written(verify(docs, written(pairs, "pairs"), classes, n, percent), "links")
     names = components(links.union(more))
     placed = members.join(names, "id", "left").withColumn("component", F.coalesce("component", "id"))

@@ -138,15 +138,23 @@ def test_ngram_join_of_awkward_rows(spark):
     assert {r["text"] for r in kept.collect()} >= {"", None, "one", "only here"}
 
 
-def test_count_tree_drops_only_what_its_bound_rules_out():
+@pytest.mark.parametrize("leaf,step", [(32, 1 << 14), (4, 50)])
+def test_count_tree_drops_only_what_its_bound_rules_out(monkeypatch, leaf, step):
+    monkeypatch.setattr(ngram_join, "LEAF", leaf)
+    monkeypatch.setattr(ngram_join, "STEP", step)
+    count = 150
     r = np.random.default_rng(1)
-    vectors = r.poisson(3, (150, 64)).astype(np.int32)
+    vectors = r.poisson(3, (count, 64)).astype(np.int32)
     vectors[50:60] = vectors[40:50]
     vectors[55:60, :4] += 1
     size, apart = vectors.sum(1), np.arange(150)
-    i, j = ngram_join.CountTree(vectors, size).pairs(85, apart)
-    got = {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist())}
+    tree = ngram_join.CountTree(vectors, size)
+    found = [(min(a, b), max(a, b)) for i, j, _ in tree.survivors(85, apart) for a, b in zip(i.tolist(), j.tolist())]
+    got = set(found)
+    assert len(got) == len(found)
     want = {(a, b) for a in range(150) for b in range(a + 1, 150) if min(size[a], size[b]) * 100 >= 85 * max(size[a], size[b]) and np.minimum(vectors[a], vectors[b]).sum() >= ngram_join.needed(int(size[a]), int(size[b]), 85)}
+    near = ngram_join.nearest(tree, 85)
+    assert all((near[k] >= 0) == any(k in p for p in want) for k in range(150)) and all((min(k, n), max(k, n)) in want for k, n in enumerate(near.tolist()) if n >= 0)
     assert got == want and {(40 + k, 50 + k) for k in range(10)} <= got
 
 
