@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folioscan.functions import text as T
 from folioscan.operators import chunking, evaluation as E, grounding as G, hygiene, index as I, ingest, layout as L, outline as O, pagemap as PM, profiles as P, search as S, textlayer as TL, toc as TOC
 from folioscan.plans import tables as D
+from folioscan.sources.staging import staged
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -425,7 +426,7 @@ def greedy_packing(spark, sf):
 @query()
 def ingested_books(spark, sf):
     """Chunks of the sources as books whose sections are found by an outline of every tenth page's first line."""
-    lines = D.lines(spark, sf)
+    lines = staged(D.lines(spark, sf), "lines")
     first = lines.where("pdf_index % 10 = 0 and line_no = 0").select("book_id", F.col("pdf_index").alias("ord"), F.col("text").alias("title"), F.lit(1).alias("level"), "pdf_index")
     files = D.page_counts(spark, sf).select("book_id", F.sha2("book_id", 256).alias("file_sha256"))
     made = ingest.ingest(lines, first, D.page_counts(spark, sf), files)
@@ -639,7 +640,7 @@ def index_fingerprint(spark, sf):
 def probe(spark, sf):
     from folioscan.operators.probe import probe as run
 
-    lines = D.lines(spark, sf)
+    lines = staged(D.lines(spark, sf), "lines")
     first = lines.where("pdf_index % 10 = 0 and line_no = 0").select("book_id", F.col("pdf_index").alias("ord"), F.col("text").alias("title"), F.lit(1).alias("level"), "pdf_index")
     out = run(lines, D.page_counts(spark, sf), first)
     return out.select("book_id", "page_count", "route", "text_layer.verdict", "outline.usable", "page_map.method", "page_map.confidence", "columns.dominant", "first_page_text_sha256")
