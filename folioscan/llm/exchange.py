@@ -12,7 +12,10 @@ import struct
 import numpy as np
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from folioscan.sources.staging import shared_path, staged as written
+
+__all__ = ["cuts", "dealt", "pack", "shard_count", "shard_of", "shared_path", "unpack", "written"]
 
 #: Shards for each shuffle partition: enough to deal them evenly.
 SHARDS_EACH = 4
@@ -66,28 +69,3 @@ def cuts(keys: np.ndarray, shards: int) -> np.ndarray:
 def dealt(blobs: DataFrame, *order: str) -> DataFrame:
     """Rows of a shard brought together and sorted by shard, then ``order``."""
     return blobs.repartition("shard").sortWithinPartitions("shard", *order)
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir; a local one if unset)."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="folioscan-")
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows written once to the shared folder and read again: lineage ends there, on storage all executors see."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def salted(column: str, salts: int):
-    return F.pmod(F.xxhash64(column), F.lit(salts)).cast("int")
