@@ -1,17 +1,17 @@
 """A quality classifier: ordinal cumulative-link regression on graded ratings.
 
-Each label is a grade: 0 for low quality, 1 for good but toxic, 2 for good. One weight for each hashed
-feature of the text gives a score s, and ordered thresholds t1 < t2 turn it into tail probabilities
+A label's grade is the number of marks in its favour: 1 for good quality and 1 for not being toxic. One weight
+for each hashed feature of the text gives a score s, and ordered thresholds t1 < t2 turn it into tail probabilities
 P(grade >= j) = 1 / (1 + exp(t_j - s)). The expected grade is their sum; a document is kept if
 P(grade >= ``least_grade``) is at least ``least_probability``.
 
-Features are the words of the whole text and their shapes (letters as a, digits as 9, other signs as they
-are), hashed, as square roots of their shares, so that a long text weighs about as much as a short one. The
-classifier is fitted on the driver from at most ``most_labels`` labelled documents, chosen by a hash of their
-ids; scoring covers every document.
+Features are the words of the whole text, their beginnings, their shapes (letters as a, digits as 9, other signs
+as they are) and repetitions, hashed, as square roots of their shares, so that a long text weighs about as much
+as a short one. The classifier is fitted on the driver from at most ``most_labels`` labelled documents, chosen by
+a hash of their ids; scoring covers every document.
 
-Defined cases: a null or empty text has no features and gets the score of the intercept, which the
-thresholds hold; a document with several labels is trained on each; labels without a document are ignored;
+Defined cases: a null text, or one without words, has no features; it gets the score 0 and is kept, as nothing
+speaks against it; a document with several labels is trained on each; labels without a document are ignored;
 without any label of both ends every document is kept with probability 1.
 """
 
@@ -30,10 +30,13 @@ from pyspark.sql import functions as F
 
 from folioscan.llm.textblocks import Words, blocks, column, starts_of
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 3 << 20
 #: Hashed features; the last is not used by any word.
 FEATURES = 1 << 18
 GRADES = 3
+#: Lengths of the word beginnings that are features, by which inflected forms of a stem are known.
+BEGINNINGS = (5,)
+PUNCTUATION = ".,;:!?\"'()"
 #: Added to a text's number of words, so that single words of short texts weigh less.
 PRIOR_WORDS = 50
 
@@ -44,29 +47,39 @@ def _feature(name: str) -> int:
     return xxhash.xxh3_64_intdigest(name) & (FEATURES - 1)
 
 
-def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """For each distinct word its bare word's feature and its shape's."""
-    bare = np.fromiter((_feature("w " + w.strip(".,;:!?\"'()").lower()) for w in words), np.int64, len(words))
+def word_features(words: list[str]) -> list[np.ndarray]:
+    """For each distinct word the features of its bare form, of its beginnings, and of its shape; -1 for none."""
+    bare = [w.strip(PUNCTUATION).lower() for w in words]
+    out = [np.fromiter((_feature("w " + w) for w in bare), np.int64, len(words))]
     seen: dict[str, int] = {}
-    shape = np.empty(len(words), np.int64)
-    for k, w in enumerate(words):
-        s = "a" if w.isalpha() else _DIGITS.sub("9", _LETTERS.sub("a", w))
-        if s not in seen:
-            seen[s] = _feature("s " + s)
-        shape[k] = seen[s]
-    return bare, shape
+
+    def known(name: str) -> int:
+        if name not in seen:
+            seen[name] = _feature(name)
+        return seen[name]
+
+    out += [np.fromiter((known(f"{n} {w[:n]}") if len(w) > n else -1 for w in bare), np.int64, len(words)) for n in BEGINNINGS]
+    out.append(np.fromiter((known("s a" if w.isalpha() else "s " + _DIGITS.sub("9", _LETTERS.sub("a", w))) for w in words), np.int64, len(words)))
+    return out
+
+
+def _repeats(code: np.ndarray, doc: np.ndarray, back: int) -> np.ndarray:
+    """A feature of the words that stand again where they stood ``back`` words before; -1 for the others."""
+    out = np.full(len(code), -1, np.int64)
+    out[back:][(code[back:] == code[:-back]) & (doc[back:] == doc[:-back])] = _feature(f"r {back}")
+    return out
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sparse rows: (where each text's features begin, feature, value)."""
     words = Words(texts)
-    bare, shape = word_features(words.distinct.to_pylist())
+    families = word_features(words.distinct.to_pylist())
     counts = words.counts
     doc = np.repeat(np.arange(len(counts)), counts)
     rows, columns, values = [], [], []
-    for own in (bare, shape):
-        key = doc * FEATURES + own[words.code] if len(doc) else np.zeros(0, np.int64)
-        kind, n = np.unique(key, return_counts=True)
+    for own in (*[f[words.code] for f in families if len(doc)], *[_repeats(words.code, doc, back) for back in (1, 2)]):
+        feature, there = own, own >= 0
+        kind, n = np.unique(doc[there] * FEATURES + feature[there], return_counts=True)
         row = kind // FEATURES
         rows.append(row)
         columns.append(kind % FEATURES)
@@ -91,18 +104,17 @@ class Ordinal:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -60, 60)))
 
 
-def fit(at: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarray, penalty: float = 1e-5, rounds: int = 200, rate: float = 1.0, least_rows: int = 4) -> Ordinal:
+def fit(at: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarray, penalty: float = 0.0022, rounds: int = 200, rate: float = 1.0, least_rows: int = 4) -> Ordinal:
     """Likelihood of the cumulative-link model with an absolute penalty on the weights, by proximal Adam.
 
-    Features in fewer than ``least_rows`` rows are left out; a grade weighs as the root of its share.
+    The penalty falls with the root of the number of rows, as the noise of the gradient does. Features in fewer
+    than ``least_rows`` rows are left out.
     """
+    penalty /= np.sqrt(len(grade))
     row = np.repeat(np.arange(len(grade)), np.diff(at))
     common = np.bincount(feature, minlength=FEATURES)[feature] >= least_rows
     row, feature, value = row[common], feature[common], value[common].astype(np.float64)
     used, column_ = np.unique(feature, return_inverse=True)
-    share = np.bincount(grade, minlength=GRADES) / len(grade)
-    weight = (1 / np.sqrt(np.maximum(share, 0.02)))[grade]
-    weight /= weight.sum()
     w, first, gaps = np.zeros(len(used)), np.array([-1.0]), np.full(GRADES - 2, 0.5)
     state = [[np.zeros_like(x), np.zeros_like(x)] for x in (w, first, gaps)]
 
@@ -118,7 +130,7 @@ def fit(at: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarra
         slope = tail * (1 - tail)
         i = np.arange(len(s))
         p = np.maximum(tail[i, grade] - tail[i, grade + 1], 1e-12)
-        g = -weight / p  # of the loss, for each row's probability
+        g = -1 / (p * len(grade))  # of the mean loss, for each row's probability
         by_score = g * (slope[i, grade] - slope[i, grade + 1])
         by_t = np.zeros((len(s), GRADES + 1))
         by_t[i, grade] -= g * slope[i, grade]
@@ -138,11 +150,11 @@ def fit(at: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarra
 
 
 def grade_of(quality, toxic):
-    """0: low quality; 1: good but toxic; 2: good. Missing marks count as good and not toxic."""
-    return F.when(F.coalesce(quality, F.lit(1)) == 0, 0).when(F.coalesce(toxic, F.lit(0)) != 0, 1).otherwise(2)
+    """Marks in a document's favour: good quality, and not toxic. Missing marks count in its favour."""
+    return (F.coalesce(quality, F.lit(1)) != 0).cast("int") + (F.coalesce(toxic, F.lit(0)) == 0).cast("int")
 
 
-def train(docs: DataFrame, labels: DataFrame, most_labels: int = 12_000) -> Ordinal | None:
+def train(docs: DataFrame, labels: DataFrame, most_labels: int = 8000) -> Ordinal | None:
     """The classifier fitted to at most ``most_labels`` labelled documents, a sample by a hash of the ids."""
     graded = labels.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("label_id"), grade_of(F.col("quality"), F.col("toxic")).cast("int").alias("grade"))
     # Ordered by hash, so the sample does not depend on partitions; top-k keeps only its rows in each task.
@@ -164,18 +176,19 @@ def train(docs: DataFrame, labels: DataFrame, most_labels: int = 12_000) -> Ordi
     return fit(at, feature.flatten().to_numpy(), value.flatten().to_numpy(), grade)
 
 
-def quality(docs: DataFrame, labels: DataFrame, least_grade: int = 2, least_probability: float = 0.5, most_labels: int = 12_000, with_row: bool = False) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, least_grade: int = 2, least_probability: float = 0.5, most_labels: int = 8000, with_row: bool = False) -> DataFrame:
     """One row per document: doc_id, score, expected_grade, p_good (the tail from grade 1), p_clean (from grade 2), kept."""
     model = train(docs, labels, most_labels)
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in blocks(batches, BLOCK_BYTES):
             if model is None:
-                score, tails = np.zeros(table.num_rows), np.ones((table.num_rows, GRADES - 1))
+                score, tails, bare = np.zeros(table.num_rows), np.ones((table.num_rows, GRADES - 1)), True
             else:
-                score = model.score(*features(column(table, "text")))
-                tails = model.tails(score)
-            kept = tails[:, least_grade - 1] >= least_probability
+                at, feature, value = features(column(table, "text"))
+                score = model.score(at, feature, value)
+                tails, bare = model.tails(score), np.diff(at) == 0
+            kept = bare | (tails[:, least_grade - 1] >= least_probability)
             out = [column(table, "doc_id"), pa.array(score), pa.array(tails.sum(1)), pa.array(tails[:, 0]), pa.array(tails[:, 1]), pa.array(kept)]
             names = ["doc_id", "score", "expected_grade", "p_good", "p_clean", "kept"]
             if with_row:
