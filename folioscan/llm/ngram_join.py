@@ -15,7 +15,8 @@ one size band or next to its border. A route is such a hash with a band; its cla
 A route with two classes names one pair, which is tried if the two can share enough routes. In the tree of a
 larger route every class finds the other that its bound brings nearest, if any reaches the threshold. These
 pairs are verified first, and links are joined to components. Then the trees are searched again, over the
-places that had any partner and routes with several components, for all pairs of different components. So
+places that had any partner and routes with several components: once for each place's nearest partner in
+another component, and, when these are verified, for all pairs of different components. So
 thousands of near copies, which are one component by then, never become all their pairs; and every pair of
 classes over the threshold is at the end either verified itself or inside one component. As hashes are
 sorted, the first that two sets share stands behind misses only, so a pair is looked at only in routes that
@@ -298,13 +299,13 @@ class CountTree:
         return x[good], y[good]
 
 
-def nearest(tree: CountTree, percent: int) -> np.ndarray:
-    """For each point the other one whose bound gives the largest similarity, -1 if none reaches the threshold."""
+def nearest(tree: CountTree, percent: int, apart: np.ndarray) -> np.ndarray:
+    """For each point the one of another ``apart`` whose bound gives the largest similarity, -1 if none reaches the threshold."""
     count = len(tree.size)
     size = np.empty(count, np.int64)
     size[tree.order] = tree.size
     best, other = np.zeros(count), np.full(count, -1)
-    for i, j, bound in tree.survivors(percent, np.arange(count)):
+    for i, j, bound in tree.survivors(percent, apart):
         score = bound / (size[i] + size[j] - bound)
         row, partner, score = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([score, score])
         by = np.lexsort((partner, score, row))
@@ -338,17 +339,17 @@ def _bounded(percent: int):
     return bounded
 
 
-def _searched(percent: int, first: bool):
+def _searched(percent: int, every: bool):
     """Rows sorted by route, with the classes of one route together.
 
-    ``first``: each class's nearest partner (kind 0, a, b), and the places that had one (kind 1, id, route).
-    Else all pairs of different components (kind 0).
+    Each class's nearest partner of another component (kind 0, a, b), and the places that had one (kind 1, id,
+    route); with ``every``, all pairs of different components (kind 0).
     """
 
     def one(ids, size, place, apart, vectors, route):
         tree = CountTree(vectors, size, place)
-        if first:
-            other = nearest(tree, percent)
+        if not every:
+            other = nearest(tree, percent, apart)
             i = np.flatnonzero(other >= 0)
             pairs = np.unique(np.sort(np.stack([ids[i], ids[other[i]]], 1), axis=1), axis=0)
             alive = np.unique(np.concatenate([i, other[i]]))
@@ -358,6 +359,10 @@ def _searched(percent: int, first: bool):
             for i, j, _ in tree.survivors(percent, apart):
                 yield 0, np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
 
+    def out(held: list[list]) -> pa.RecordBatch:
+        rows = np.unique(np.stack([np.concatenate(v).astype(np.int64) for v in held], 1), axis=0)
+        return pa.record_batch([pa.array(rows[:, 0].astype(np.int32)), pa.array(rows[:, 1]), pa.array(rows[:, 2])], ["kind", "a", "b"])
+
     def settle(table: pa.Table) -> Iterator[pa.RecordBatch]:
         route, ids, size, apart, other = (column(table, x).to_numpy() for x in ("route", "id", "size", "component", "other"))
         data = column(table, "point")
@@ -365,7 +370,7 @@ def _searched(percent: int, first: bool):
         held: list[list] = [[], [], []]
         count = 0
         for a, b in zip(cut[:-1], cut[1:], strict=True):
-            if not first and (apart[a:b] == apart[a]).all():
+            if (apart[a:b] == apart[a]).all():
                 continue
             groups = group_count(int(other[a] % BANDS), percent)
             vectors = np.stack([read_point(x, _stored(int(n), percent), groups) for x, n in zip(data[a:b].to_pylist(), size[a:b].tolist(), strict=True)])
@@ -373,11 +378,11 @@ def _searched(percent: int, first: bool):
                 for own, v in zip(held, (np.full(len(x), kind, np.int32), x, y), strict=True):
                     own.append(v)
                 count += len(x)
-                if count > 100_000:
-                    yield pa.record_batch([pa.array(np.concatenate(v)) for v in held], ["kind", "a", "b"])
+                if count > 200_000:
+                    yield out(held)
                     held, count = [[], [], []], 0
         if count:
-            yield pa.record_batch([pa.array(np.concatenate(v)) for v in held], ["kind", "a", "b"])
+            yield out(held)
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -473,10 +478,10 @@ def bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInArrow(_bounded(percent), "a long, b long")
 
 
-def _trees(routes: DataFrame, points: DataFrame, percent: int, first: bool) -> DataFrame:
+def _trees(routes: DataFrame, points: DataFrame, percent: int, every: bool) -> DataFrame:
     """The search of every route's tree. Rows: id, route, size, other, component."""
     ready = routes.join(points.select("id", "point"), "id").select("route", "id", "size", "component", "other", "point")
-    return ready.repartition("route").sortWithinPartitions("route", "size", "id").mapInArrow(_searched(percent, first), "kind int, a long, b long")
+    return ready.repartition("route").sortWithinPartitions("route", "size", "id").mapInArrow(_searched(percent, every), "kind int, a long, b long")
 
 
 def linked_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
@@ -497,17 +502,20 @@ def linked_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFra
     most = F.col("own") + F.least(F.coalesce("more_a", F.lit(0)), F.coalesce("more_b", F.lit(0)))
     twos = bounded(twos.where(most >= _least_routes(percent)).select("a", "b"), points, percent)
     # Larger routes: each class's nearest partner.
-    near = written(_trees(routes.withColumn("component", F.col("id")), points, percent, True), "near")
-    first = written(near.where("kind = 0").select("a", "b").unionByName(twos).distinct(), "pairs")
-    links = written(verify(docs, first, classes, n, percent), "links")
+    near = written(_trees(routes.withColumn("component", F.col("id")), points, percent, False), "near")
+    tried = written(near.where("kind = 0").select("a", "b").unionByName(twos).distinct(), "pairs")
+    links = written(verify(docs, tried, classes, n, percent), "links")
     names = components(links)
-    # All pairs of different components, in the routes and places that had any.
+    # Different components, in the routes and places that had any partner.
     alive = near.where("kind = 1").select(F.col("a").alias("id"), F.col("b").alias("route"))
-    told = routes.join(alive, ["id", "route"], "left_semi").join(names, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_ = told.groupBy("route").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("route")
-    pairs = _trees(told.join(open_, "route", "left_semi"), points, percent, False).select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    more = written(verify(docs, written(pairs, "pairs"), classes, n, percent), "links")
-    names = components(links.union(more))
+    places = written(routes.join(alive, ["id", "route"], "left_semi"), "places")
+    for every in (False, True):
+        told = places.join(names, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        open_ = told.groupBy("route").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("route")
+        found_ = _trees(told.join(open_, "route", "left_semi"), points, percent, every).where("kind = 0").select("a", "b").distinct()
+        pairs = written(written(found_, "found").join(tried, ["a", "b"], "left_anti"), "pairs")
+        links = links.union(written(verify(docs, pairs, classes, n, percent), "links"))
+        names, tried = components(links), tried.union(pairs)
     placed = members.join(names, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = placed.where("id <> 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = placed.join(least, "component", "left")

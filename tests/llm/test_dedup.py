@@ -153,7 +153,7 @@ def test_count_tree_drops_only_what_its_bound_rules_out(monkeypatch, leaf, step)
     got = set(found)
     assert len(got) == len(found)
     want = {(a, b) for a in range(150) for b in range(a + 1, 150) if min(size[a], size[b]) * 100 >= 85 * max(size[a], size[b]) and np.minimum(vectors[a], vectors[b]).sum() >= ngram_join.needed(int(size[a]), int(size[b]), 85)}
-    near = ngram_join.nearest(tree, 85)
+    near = ngram_join.nearest(tree, 85, apart)
     assert all((near[k] >= 0) == any(k in p for p in want) for k in range(150)) and all((min(k, n), max(k, n)) in want for k, n in enumerate(near.tolist()) if n >= 0)
     assert got == want and {(40 + k, 50 + k) for k in range(10)} <= got
 
