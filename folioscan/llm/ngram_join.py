@@ -36,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,14 +95,21 @@ def group_count(band: int, percent: int) -> int:
     return int(min(MOST_GROUPS, max(LEAST_GROUPS, 1 << math.ceil(math.log2(max(top, 1))))))
 
 
+@functools.cache
+def _codec():
+    """Of each process: counts take two or three bits of a byte, and points travel with every route."""
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def point(hashes: np.ndarray, groups: int) -> bytes:
-    """Group counts of a set; bytes if they are small, else four bytes each."""
+    """Group counts of a set, compressed; bytes if they are small, else four bytes each."""
     found = np.bincount((mix(hashes) >> _U(64 - int(math.log2(groups)))).astype(np.int64), minlength=groups)
-    return found.astype(np.uint8 if found.max(initial=0) < 256 else np.uint32).tobytes()
+    return _codec()[0].compress(found.astype(np.uint8 if found.max(initial=0) < 256 else np.uint32).tobytes())
 
 
 def read_point(data: bytes, stored: int, groups: int) -> np.ndarray:
     """The point in ``groups`` coordinates, at most as many as are stored: neighbours are added up."""
+    data = _codec()[1].decompress(data)
     found = np.frombuffer(data, np.uint8 if len(data) == stored else np.uint32)
     return found if len(found) == groups else found.reshape(groups, -1).sum(1, dtype=np.uint32)
 
