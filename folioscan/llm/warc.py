@@ -9,7 +9,7 @@ version line; archives with a gzip member for each record are read member by mem
 check (version line, header, length, closing line ends, digest, gzip checksum), the reader looks for the next
 version line or gzip member that does pass, goes on from there, and logs the bytes between as a gap.
 
-Defined cases: a null html is an empty payload; a null page id is written as an empty one and read as null;
+Defined cases: a url, and with it a header, may have any length; a null html is an empty payload; a null page id is written as an empty one and read as null;
 a page without an id is always a response; pages
 that share an id and a payload are responses, or revisits of one, together; extra columns are not written.
 """
@@ -29,9 +29,9 @@ from folioscan.llm.textblocks import column
 
 CRLF = "\r\n"
 VERSION = b"WARC/1."
-#: A header that is longer is taken for damage.
-MOST_HEADER = 1 << 16
-#: Payload bytes that a file of an archive should hold, before compression.
+#: Bytes at a file's start by which a damaged gzip archive is told from a plain one.
+SNIFFED = 1 << 16
+#: Bytes of payloads and urls that a file of an archive should hold, before compression.
 FILE_BYTES = 8 << 20
 FIELDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 RECORD = "file string, begin long, end long, kind string, reason string, url string, payload binary, " + FIELDS
@@ -74,21 +74,34 @@ def _record():
 
 def write_archives(pages: DataFrame, path: str, revisit_bytes: int = 100, compression: str = "gzip", file_bytes: int = FILE_BYTES) -> None:
     """The pages as archive files under ``path``, of about ``file_bytes`` each before compression."""
-    total = pages.agg(F.coalesce(F.sum(F.octet_length("html")), F.lit(0))).first()[0]
+    held = [F.coalesce(F.octet_length(x), F.lit(0)).cast("long") for x in ("html", "url")]
+    total = pages.agg(F.coalesce(F.sum(held[0] + held[1]), F.lit(0))).first()[0]
     files = max(int(total // file_bytes) + 1, 1)
     records(pages, revisit_bytes, files).select("record").write.option("lineSep", CRLF + CRLF).option("compression", compression).text(path)
 
 
-def _header(block: bytes) -> dict[str, str] | None:
-    """The fields of a header that begins with a version line; none if a line has no colon."""
-    lines = block.decode("utf-8", "replace").split(CRLF)
+def _header(data: bytes, at: int) -> tuple[dict[str, str] | None, int, str]:
+    """(fields or none, where the payload begins, what is wrong) of the header whose version line is at ``at``.
+
+    A header of any length is read, line by line to an empty one; the version line of another record or a line
+    without a colon ends the search, so that damage is not read to the end of the file.
+    """
+    other = data.find(VERSION, at + 1)
+    close = data.find(b"\r\n", at, other if other >= 0 else len(data))
+    if close < 0:
+        return None, at, "no end of header"
     out = {}
-    for text in lines[1:]:
-        name, colon, value = text.partition(":")
+    while True:
+        begin = close + 2
+        close = data.find(b"\r\n", begin)
+        if close < 0 or data.startswith(VERSION, begin):
+            return None, at, "no end of header"
+        if close == begin:
+            return out, begin + 2, ""
+        name, colon, value = data[begin:close].decode("utf-8", "replace").partition(":")
         if not colon:
-            return None
+            return None, at, "broken header"
         out[name.strip().lower()] = value.strip()
-    return out
 
 
 def _urn(text: str) -> int | None:
@@ -100,13 +113,11 @@ def parse_record(data: bytes, at: int) -> tuple[dict | None, int, str]:
     """(record or none, where it ends, what is wrong) of the record that should begin at ``at``."""
     if not data.startswith(VERSION, at):
         return None, at, "no version line"
-    close = data.find(b"\r\n\r\n", at, at + MOST_HEADER)
-    if close < 0:
-        return None, at, "no end of header"
-    head = _header(data[at:close])
-    if head is None or not head.get("content-length", "").isdigit():
+    head, begin, wrong = _header(data, at)
+    if head is None:
+        return None, at, wrong
+    if not head.get("content-length", "").isdigit():
         return None, at, "broken header"
-    begin = close + 4
     end = begin + int(head["content-length"])
     if data[end : end + 4] != b"\r\n\r\n":
         return None, at, "length does not meet the closing line ends"
@@ -152,7 +163,7 @@ def _member(data: bytes, at: int) -> tuple[bytes, int, str]:
 def salvage_file(data: bytes) -> Iterator[dict]:
     """Records and gaps of an archive file. Offsets are those of the file; for gzip members, of the member."""
     if data[:2] != b"\x1f\x8b":
-        if b"\x1f\x8b\x08" not in data[:MOST_HEADER] or VERSION in data[:MOST_HEADER]:
+        if b"\x1f\x8b\x08" not in data[:SNIFFED] or VERSION in data[:SNIFFED]:
             yield from salvage(data)
             return
     at, bad, why = 0, None, ""
@@ -194,7 +205,7 @@ def _read(with_payload: bool):
                     x["file"] = name.as_py()
                     if not with_payload:
                         x.pop("payload", None)
-                    size += len(x.get("payload") or b"") + 200
+                    size += len(x.get("payload") or b"") + len(x.get("url") or "") + 200
                     rows.append(x)
                     if size > 4 << 20:
                         yield out()

@@ -85,6 +85,28 @@ def test_awkward_pages(spark, tmp_path):
     assert warc.round_trip(table(spark, []), str(tmp_path / "e")).count() == 0
 
 
+def test_urls_of_any_length(spark, tmp_path):
+    long = "data:text/html;WARC/1.1," + "x" * (1 << 20)
+    rows = [(1, "a", "m" * 200, ""), (2, long, "n" * 200, ""), (3, "b", "n" * 200, ""), (4, long, "n" * 200, ""), (5, long + "é", None, ""), (6, "c" * (1 << 16), "o", "")]
+    pages = table(spark, rows)
+    got = warc.round_trip(pages, str(tmp_path / "w")).collect()
+    assert sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in got) == [(1, "response", None), (2, "response", None), (3, "revisit", 2), (4, "revisit", 2), (5, "response", None), (6, "response", None)]
+    read = warc.read_archives(spark, str(tmp_path / "w"))
+    assert warc.gaps(read).count() == 0 and {r["page_id"]: r["url"] for r in read.collect()} == {r[0]: r[1] for r in rows}
+
+
+def test_a_long_header_without_an_end_is_a_gap():
+    records = archive()
+    url = b"x" * 200_000
+    whole = records[3].replace(b"http://h/3", url)
+    cut = whole[: whole.index(url) + 150_000]
+    for broken in (cut, cut + b"\r\n", cut.replace(b"\r\n", b"\n"), b"WARC/1.1 " * 20_000):
+        found = list(warc.salvage(b"".join([*records[:3], broken, *records[4:]])))
+        covered(found, sum(map(len, records)) - len(records[3]) + len(broken))
+        assert [x["page_id"] for x in found if x["kind"] == "record"] == [0, 1, 2, 4, 5, 6, 7]
+    assert [x["page_id"] for x in warc.salvage(b"".join([*records[:3], whole, *records[4:]]))] == list(range(8))
+
+
 def archive(n=8):
     out = []
     for i in range(n):
