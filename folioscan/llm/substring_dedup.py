@@ -10,7 +10,9 @@ A block of documents settles its own repeats first and sends each window once, s
 third of all documents reaches its shard once a block and not once a document.
 
 Defined cases: null text has no words; a null ``doc_id`` counts as smaller than any other; rows with one
-``doc_id`` count as one place, none of them earlier than the other; other columns are ignored.
+``doc_id``, or without one, are told apart by a hash of their texts, which is also their order; rows with one
+``doc_id`` and one text count as one place, none of them earlier than the other, and share a result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -57,13 +59,23 @@ def runs(doc: np.ndarray, start: np.ndarray, window: int) -> tuple[np.ndarray, n
     return doc[new], start[new], start[last] + window
 
 
+def _places(ids: np.ndarray, sha: np.ndarray) -> np.ndarray:
+    """Of sorted rows the first one with the same id and text."""
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (sha[1:] != sha[:-1])
+    return np.maximum.accumulate(np.where(new, np.arange(len(ids)), 0))
+
+
 def _send(window: int, k: int, shards: int):
     span = window - k + 1
 
     def block(table: pa.Table) -> pa.RecordBatch:
         ids = column(table, "doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
-        order = np.argsort(ids, kind="stable")
-        ids = ids[order]
+        sha = column(table, "text_sha").to_numpy(zero_copy_only=False)
+        order = np.lexsort((sha, ids))
+        ids, sha = ids[order], sha[order]
+        # Rows with one id and one text are one place.
+        place_of = _places(ids, sha)
         words = Words(column(table, "text").take(pa.array(order)))
         own, again = words.hashes(1)[words.code], words.hashes(2)[words.code]
         gram = grams(own, k)
@@ -76,18 +88,18 @@ def _send(window: int, k: int, shards: int):
         by = np.argsort(kind, kind="stable")
         rest = np.zeros(len(by), bool)
         rest[1:] = kind[by][1:] == kind[by][:-1]
-        if len(by):  # rows with one doc_id and one place are the same place
+        if len(by):  # rows of one place have the same windows
             at = start - words.at[doc]
             head = np.maximum.accumulate(np.where(rest, 0, np.arange(len(by))))
-            rest &= (ids[doc[by]] != ids[doc[by[head]]]) | (at[by] != at[by[head]])
+            rest &= (place_of[doc[by]] != place_of[doc[by[head]]]) | (at[by] != at[by[head]])
         sent = np.ones(len(by), bool)
         sent[by[1:]] = ~(kind[by][1:] == kind[by][:-1]) if len(by) else False
         repeated = by[rest]
         shard, blob = [], []
-        marks = runs(ids[doc[repeated]], start[repeated] - words.at[doc[repeated]], window)
-        if len(marks[0]):
+        row, first, end = runs(place_of[doc[repeated]], start[repeated] - words.at[doc[repeated]], window)
+        if len(row):
             shard.append(int(abs(hash(int(ids[0]))) % shards))
-            blob.append(pack([np.array([1], np.int8), *marks]))
+            blob.append(pack([np.array([1], np.int8), ids[row], sha[row], first, end]))
         kept = np.flatnonzero(sent)
         if len(kept):
             place, first, size = np.unique(anchor[kept], return_index=True, return_counts=True)
@@ -106,7 +118,7 @@ def _send(window: int, k: int, shards: int):
                 a, b = edge[s], edge[s + 1]
                 x, y = at[a], at[b]
                 low = tail[x:y]
-                blob.append(pack([key[a:b], ids[own_doc[a:b]], pos[a:b].astype(np.int32), size[a:b].astype(np.uint16), offset[x:y], (low & np.uint64(0xFFFFFFFF)).astype(np.uint32), (low >> np.uint64(32)).astype(np.uint16)]))
+                blob.append(pack([key[a:b], ids[own_doc[a:b]], sha[own_doc[a:b]], pos[a:b].astype(np.int32), size[a:b].astype(np.uint16), offset[x:y], (low & np.uint64(0xFFFFFFFF)).astype(np.uint32), (low >> np.uint64(32)).astype(np.uint16)]))
                 shard.append(int(s))
         return pa.record_batch([pa.array(shard, pa.int32()), pa.array(blob, pa.binary())], ["shard", "data"])
 
@@ -120,9 +132,10 @@ def _send(window: int, k: int, shards: int):
 def _settle(window: int):
     """Of the windows sent to one shard: all but the earliest of each kind, as spans."""
 
-    def out(doc, start, end):
+    def out(doc, sha, start, end):
         for i in range(0, len(doc), 100_000):
-            yield pa.record_batch([pa.array(doc[i : i + 100_000], pa.int64()), pa.array(start[i : i + 100_000], pa.int32()), pa.array(end[i : i + 100_000], pa.int32())], ["doc_id", "first", "end"])
+            j = i + 100_000
+            yield pa.record_batch([pa.array(doc[i:j], pa.int64()), pa.array(sha[i:j], pa.int64()), pa.array(start[i:j], pa.int32()), pa.array(end[i:j], pa.int32())], ["doc_id", "text_sha", "first", "end"])
 
     def one(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         rows = []
@@ -134,19 +147,20 @@ def _settle(window: int):
                 rows.append(x)
         if not rows:
             return
-        key, doc, pos, size, offset, low, high = (np.concatenate(x) for x in zip(*rows, strict=True))
+        key, doc, sha, pos, size, offset, low, high = (np.concatenate(x) for x in zip(*rows, strict=True))
         del rows
         # An anchor seen once has no match to extend.
         _, kind, seen = np.unique(key, return_inverse=True, return_counts=True)
         chosen = np.flatnonzero(seen[kind] > 1)
-        chosen = chosen[np.lexsort((pos[chosen], doc[chosen]))]
+        chosen = chosen[np.lexsort((pos[chosen], sha[chosen], doc[chosen]))]
+        doc, sha = doc[chosen], sha[chosen]
         size = size.astype(np.int64)
         each = size[chosen]
         row = np.repeat(starts_of(size)[:-1][chosen], each) + within(each)
         tail = low[row].astype(np.uint64) | high[row].astype(np.uint64) << np.uint64(32)
         name = mix(np.repeat(key[chosen], each) + tail * np.uint64(0x9E3779B97F4A7C15)) ^ tail
         start = np.repeat(pos[chosen], each) - offset[row]
-        where = np.repeat(doc[chosen], each)
+        where = np.repeat(_places(doc, sha), each)
         by = np.argsort(name, kind="stable")
         name, start, where = name[by], start[by], where[by]
         same = np.zeros(len(name), bool)
@@ -154,7 +168,8 @@ def _settle(window: int):
         if len(same):
             head = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
             same &= (where != where[head]) | (start != start[head])
-        yield from out(*runs(where[same], start[same], window))
+        row, first, end = runs(where[same], start[same], window)
+        yield from out(doc[row], sha[row], first, end)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, of = [], None
@@ -171,12 +186,12 @@ def _settle(window: int):
 
 
 def repeats(docs: DataFrame, window: int = 20, k: int = 8) -> DataFrame:
-    """(doc_id, first, end): word spans whose every window also starts earlier; spans of one document may overlap."""
+    """(doc_id, text_sha, first, end): word spans whose every window also starts earlier; spans of one document may overlap."""
     if not 0 < k <= window <= 256:
         raise ValueError("0 < k <= window <= 256")
     shards = shard_count(docs.sparkSession)
-    sent = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_send(window, k, shards), "shard int, data binary")
-    return dealt(sent).mapInArrow(_settle(window), "doc_id long, first int, end int")
+    sent = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_sha")).mapInArrow(_send(window, k, shards), "shard int, data binary")
+    return dealt(sent).mapInArrow(_settle(window), "doc_id long, text_sha long, first int, end int")
 
 
 def _cut(with_text: bool):
@@ -184,10 +199,11 @@ def _cut(with_text: bool):
         for table in blocks(batches, BLOCK_BYTES):
             words = Words(column(table, "text"))
             firsts, ends = (column(table, x).fill_null([]) for x in ("firsts", "ends"))
-            base = np.repeat(words.at[:-1], np.diff(firsts.offsets.to_numpy()))
+            each = np.diff(firsts.offsets.to_numpy())
+            base, close = np.repeat(words.at[:-1], each), np.repeat(words.at[1:], each)
             step = np.zeros(len(words.code) + 1, np.int64)
-            np.add.at(step, base + firsts.flatten().to_numpy(zero_copy_only=False), 1)
-            np.add.at(step, base + ends.flatten().to_numpy(zero_copy_only=False), -1)
+            np.add.at(step, np.minimum(base + firsts.flatten().to_numpy(zero_copy_only=False), close), 1)
+            np.add.at(step, np.minimum(base + ends.flatten().to_numpy(zero_copy_only=False), close), -1)
             gone = np.cumsum(step[:-1]) > 0
             removed, left = starts_of(gone)[words.at], starts_of(~gone)[words.at]
             names = np.empty(len(words.distinct), object)
@@ -203,7 +219,6 @@ def _cut(with_text: bool):
 def substring_dedup(docs: DataFrame, window: int = 20, k: int = 8, with_text: bool = True) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text (its kept words joined by one space)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spans = repeats(docs, window, k).groupBy("doc_id").agg(F.collect_list("first").alias("firsts"), F.collect_list("end").alias("ends"))
-    spans = spans.withColumnRenamed("doc_id", "at_id")
-    held = docs.join(spans, F.coalesce("doc_id", F.lit(NO_ID)) == spans.at_id, "left").drop("at_id")
+    spans = repeats(docs, window, k).groupBy(F.col("doc_id").alias("at_id"), F.col("text_sha").alias("at_sha")).agg(F.collect_list("first").alias("firsts"), F.collect_list("end").alias("ends"))
+    held = docs.join(spans, (F.coalesce("doc_id", F.lit(NO_ID)) == spans.at_id) & (F.xxhash64("text") == spans.at_sha), "left").drop("at_id", "at_sha")
     return held.mapInArrow(_cut(with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)

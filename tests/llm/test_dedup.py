@@ -43,6 +43,25 @@ def test_substring_dedup_of_awkward_rows(spark):
     assert substring_dedup.substring_dedup(data.none(spark)).count() == 0
 
 
+@pytest.mark.parametrize("block", [6 << 20, 500])
+def test_substring_dedup_tells_rows_apart_by_id_and_text(spark, monkeypatch, block):
+    """Rows are ordered by id (null first), then by hash of their text; a repeated row is the place of the first."""
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", block)
+    passage, other = data.words(60, 300), data.words(30, 303)
+    more = [
+        (900, " ".join(passage)), (900, "short text of the same id"), (900, " ".join(data.words(25, 301) + passage)), (901, " ".join(data.words(90, 302))),
+        (None, " ".join(data.words(7, 304) + other)), (None, " ".join(data.words(9, 305) + other)), (None, " ".join(data.words(7, 306) + other)), (None, "a few words"),
+    ]
+    pairs = data.awkward(spark).select("doc_id", "text")
+    docs = pairs.unionByName(spark.createDataFrame(more, "doc_id long, text string")).repartition(3)
+    rows = [(substring_dedup.NO_ID if i is None else i, h, t) for i, t, h in docs.selectExpr("doc_id", "text", "xxhash64(text)").collect()]
+    want = brute_substring([((i, h), t) for i, h, t in set(rows)])
+    got = substring_dedup.substring_dedup(docs).collect()
+    found = Counter((substring_dedup.NO_ID if r["doc_id"] is None else r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got)
+    assert found == Counter((i, *want[i, h]) for i, h, _ in rows)
+    assert all(hashlib.sha256(r["kept_text"].encode()).hexdigest() == r["kept_sha256"] for r in got)
+
+
 def test_substring_dedup_settles_a_hot_passage_in_its_block(spark):
     passage = " ".join(data.words(40, 99))
     docs = spark.createDataFrame([(i, f"u{i} {passage} v{i}") for i in range(300)], "doc_id long, text string")
