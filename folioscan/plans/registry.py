@@ -337,15 +337,17 @@ def toc_pairs(spark, sf):
 
 @query()
 def toc_page_map(spark, sf):
-    """Books of nations: page 1 lists the next customers with their printed pages, whose pages carry the names as lines."""
+    """Books of nations, as many as hold all customers at up to 40 a book: page 1 lists a book's customers with their
+    printed pages, whose pages carry the names as lines. A nation's customers are dealt evenly over its books."""
     c = D.table(spark, sf, "customer")
-    own = Window.partitionBy("c_nationkey").orderBy("c_custkey")
-    page = c.select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("book_id"), F.row_number().over(own).alias("k"), F.concat(F.lit("Chapter "), F.regexp_replace(F.translate(F.col("c_custkey").cast("string"), "0123456789", "abcdefghij"), "$", "")).alias("title"))
-    page = page.where("k <= 40")
+    nation = Window.partitionBy("c_nationkey")
+    dealt = c.withColumns({"nth": F.row_number().over(nation.orderBy("c_custkey")) - 1, "books": F.ceil(F.count(F.lit(1)).over(nation) / 40).cast("int")})
+    book = F.concat(F.lit("n"), F.col("c_nationkey").cast("string"), F.lit("-"), (F.col("nth") % F.col("books")).cast("string"))
+    page = dealt.select(book.alias("book_id"), (F.floor(F.col("nth") / F.col("books")) + 1).cast("int").alias("k"), F.concat(F.lit("Chapter "), F.regexp_replace(F.translate(F.col("c_custkey").cast("string"), "0123456789", "abcdefghij"), "$", "")).alias("title"))
     body = page.select("book_id", (F.col("k") + 20).alias("pdf_index"), F.lit(0).alias("line_no"), F.col("title").alias("text"))
-    toc = page.where("k <= 12").select("book_id", F.lit(1).alias("pdf_index"), F.col("k").alias("line_no"), F.concat("title", F.lit(" .... "), (F.col("k") + 16).cast("string")).alias("text"))
+    toc = page.select("book_id", F.lit(1).alias("pdf_index"), F.col("k").alias("line_no"), F.concat("title", F.lit(" .... "), (F.col("k") + 16).cast("string")).alias("text"))
     lines = body.unionByName(toc)
-    counts = lines.groupBy("book_id").agg(F.lit(70).cast("long").alias("page_count"), F.count(F.lit(1)).alias("n")).drop("n")
+    counts = lines.groupBy("book_id").agg((F.max("pdf_index") + 1).cast("long").alias("page_count"))
     none = spark.createDataFrame([], "book_id string, masked string")
     return TOC.toc_page_map(TOC.located_titles(TOC.toc_entries(lines, none, counts), lines, counts), counts)
 

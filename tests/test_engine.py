@@ -48,6 +48,19 @@ def test_queries_against_their_sql(spark, name):
     assert sorted([shown(r[n]) for n in names] for r in own.collect()) == sorted([shown(r[i]) for i in order] for r in want.fetchall())
 
 
+def test_contents_of_all_customers(spark, tmp_path):
+    """Every customer of a nation with enough for a table of contents is located in one of its books."""
+    customers = [(k, nation) for k, nation in enumerate([0] * 100 + [1] * 41 + [2] * 8 + [3] * 3, 1)]
+    spark.createDataFrame(customers, "c_custkey long, c_nationkey int").write.parquet(str(tmp_path / "customer.parquet"))
+    got = registry.QUERIES["toc_page_map"](spark, str(tmp_path)).collect()
+    located = {}
+    for r in got:
+        located.setdefault(r["book_id"].split("-")[0], []).append(r["matched"])
+        pages = 21 + r["matched"]
+        assert (r["pdf_start"], r["pdf_end"], r["page_offset"], r["confidence"]) == (21, pages - 1, 4, min(0.5, r["matched"] / pages))
+    assert {k: sorted(v) for k, v in located.items()} == {"n0": [33, 33, 34], "n1": [20, 21], "n2": [8]}
+
+
 def test_streamed_postings(spark, tmp_path):
     from tests.test_retrieval import demo
     from folioscan.operators import ingest
