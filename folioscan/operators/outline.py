@@ -44,9 +44,10 @@ def section_paths(outline: DataFrame, separator: str = " > ") -> DataFrame:
 
     Ancestors follow without recursion: of the entries above level l only the last one before an entry can
     be its ancestor at l, and only if no entry of a smaller level came between. A window keeps, for each
-    level, the last entry, and drops those that are older than the last entry of a level above.
+    level, the last entry, and drops those that are older than the last entry of a level above. There are as
+    many levels as the outline has, which is counted first.
     """
-    deepest = 12
+    deepest = max(outline.agg(F.max("level")).first()[0] or 1, 1)
     along = Window.partitionBy("book_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     out = outline
     for level in range(1, deepest + 1):

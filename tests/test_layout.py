@@ -161,6 +161,15 @@ def test_section_paths_drop_stale_children(spark):
     assert outline.level_jumps(entries(spark, [("A", 1, 0), ("C", 3, 0)])).count() == 1
 
 
+def test_section_paths_of_any_depth(spark):
+    rows = [(f"t{k}", k, 0) for k in range(1, 21)] + [("u", 20, 1), ("v", 13, 1), ("w", 14, 1), ("x", 2, 2)]
+    got = [r["section_path"] for r in outline.section_paths(entries(spark, rows)).orderBy("ord").collect()]
+    above = [f"t{k}" for k in range(1, 21)]
+    want = [above[: k + 1] for k in range(20)] + [[*above[:19], "u"], [*above[:12], "v"], [*above[:12], "v", "w"], ["t1", "x"]]
+    assert got == [" > ".join(x) for x in want]
+    assert outline.section_paths(entries(spark, rows).limit(0)).count() == 0
+
+
 def test_outline_usability(spark):
     good = outline.outline_report(entries(spark, [(f"t{k}", 1, 4 * k) for k in range(12)]), counts(spark, 48)).first()
     assert good["usable"] and good["coverage"] == 1.0 and good["max_span"] == 4
