@@ -95,6 +95,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, k: int
     )
 
 
+def for_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """What ``decontaminate`` found, once for each row of the documents: rows that repeat share a result but keep their rows."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("row_id"), F.xxhash64("text").alias("row_sha"))
+    return rows.join(found, F.col("row_id").eqNullSafe(F.col("doc_id")) & (F.col("row_sha") == F.col("text_sha"))).drop("row_id", "row_sha")
+
+
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = 8, most_items: int = 0) -> DataFrame:
     """The documents that share windows with at most ``most_items`` items, with all their columns."""
     bad = decontaminate(docs, benchmark, window, most_items=most_items).where("contaminated").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), F.col("text_sha").alias("sha"))

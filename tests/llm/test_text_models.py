@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from folioscan.llm import decontaminate, lm, quality
+from folioscan.llm import decontaminate, lm, quality, queries
 from tests.llm import data
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -126,6 +126,14 @@ def test_decontamination_of_awkward_rows(spark):
     assert Counter(clean.select("text").toPandas()["text"].tolist()) == Counter(t for (t,) in docs.select("text").collect() if brute_hits([(0, t)], [x for x in ITEMS if x[0] is not None])[0][3] == 0)
 
 
+def test_decontamination_query_keeps_repeated_rows(spark, tmp_path):
+    docs = data.awkward(spark).select("doc_id", "text")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = queries.QUERIES["op8_decontaminate"](spark, str(tmp_path)).select("doc_id", "n_words", "n_hit", "n_items").collect()
+    assert Counter(map(tuple, got)) == Counter(brute_hits([tuple(r) for r in docs.collect()], [x for x in ITEMS if x[0] is not None]))
+
+
 def labelled(spark):
     rows, labels = [], []
     for i in range(600):
