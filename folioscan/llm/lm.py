@@ -4,8 +4,8 @@ States are the histories that occur, the empty one included; an arc of a state i
 and its failure arc leads to the history without its first word. With c(h w) counted in training and m
 prior counts, an arc weighs log((c(h w) + m p(w | shorter h)) / (c(h) + m)) and a failure arc
 log(m / (c(h) + m)), which adds up to one over all words. The empty history has the smoothed unigram
-probabilities (c(w) + 1/2) / (N + (V + 1) / 2). A text is read once from left to right: the automaton holds
-its state, follows arcs or failure arcs, and adds up their weights.
+probabilities (c(w) + 1/2) / (N + (V + 1) / 2). The states and arcs are not built: the counts of each n-gram of
+a text are looked up, for all tokens at once, and interpolated, which gives the weights that a traversal adds up.
 
 Counts grow with the corpus and are never held whole. Documents are dealt to blocks by their ids. A block
 counts its own n-grams and sends them to shards by their hashes; a shard adds up the counts of all blocks
@@ -161,8 +161,7 @@ class Automaton:
     def read(self, token: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each token its count and its log10 probability without and with its history.
 
-        At each step the arc of the longest history that has one is taken, behind the failure arcs of the
-        longer ones; for all tokens at once, from the shortest history up.
+        No state is carried: counts are looked up for all tokens at once, from the shortest history up.
         """
         grams, before = ngrams(token, at, self.order), contexts(token, at, self.order)
         own = self.count(grams[0])
