@@ -1,4 +1,8 @@
-"""Tables that are computed once, written to the folder that driver and executors share, and read again."""
+"""Tables that are computed once, written to the folder that driver and executors share, and read again.
+
+What is staged belongs to the one who names spark.checkpoint.dir: it is kept until that folder is emptied, as any
+table read from it may still be in use.
+"""
 
 from __future__ import annotations
 
@@ -7,20 +11,33 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: With it Spark removes the shuffle files of an execution when that has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir; if that is unset, as in tests, in a local temporary one."""
+    """A new path in the folder of spark.checkpoint.dir; if that is unset, in a temporary one, but only on a local master."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{(base or tempfile.mkdtemp(prefix='folioscan-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="folioscan-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """The rows from storage: lineage ends there, and a lost executor costs no recomputation of what came before.
 
-    Spark removes a job's shuffle files once the driver's JVM has collected it, which is asked for here, as long
-    jobs would else keep the files of all their steps.
+    The shuffle files of the write are of no use once it has ended, and are removed with it.
     """
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
