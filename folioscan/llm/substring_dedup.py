@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.llm.exchange import cuts, dealt, pack, shard_count, unpack
-from folioscan.llm.textblocks import Words, blocks, column, grams, inside, mix, starts_of, within
+from folioscan.llm.textblocks import Words, blocks, column, grams, inside, starts_of, within
 
 NO_ID = -(2**63)
 #: Bytes of text that a task holds as one block.
@@ -84,16 +84,17 @@ def _send(window: int, k: int, shards: int):
         full = grams(again, window)[start]
         doc = np.repeat(np.arange(len(ids)), words.counts)[start]
         # The block's first window of its kind is sent; the others are repeats whatever other blocks hold.
-        kind = mix(full ^ gram[anchor])
-        by = np.argsort(kind, kind="stable")
-        rest = np.zeros(len(by), bool)
-        rest[1:] = kind[by][1:] == kind[by][:-1]
+        by = np.argsort(full, kind="stable")
+        again, seed = full[by], gram[anchor[by]]
+        same = np.zeros(len(by), bool)
+        same[1:] = (again[1:] == again[:-1]) & (seed[1:] == seed[:-1])
+        rest = same.copy()
         if len(by):  # rows of one place have the same windows
             at = start - words.at[doc]
-            head = np.maximum.accumulate(np.where(rest, 0, np.arange(len(by))))
+            head = np.maximum.accumulate(np.where(same, 0, np.arange(len(by))))
             rest &= (place_of[doc[by]] != place_of[doc[by[head]]]) | (at[by] != at[by[head]])
         sent = np.ones(len(by), bool)
-        sent[by[1:]] = ~(kind[by][1:] == kind[by][:-1]) if len(by) else False
+        sent[by] = ~same
         repeated = by[rest]
         shard, blob = [], []
         row, first, end = runs(place_of[doc[repeated]], start[repeated] - words.at[doc[repeated]], window)
@@ -158,13 +159,13 @@ def _settle(window: int):
         each = size[chosen]
         row = np.repeat(starts_of(size)[:-1][chosen], each) + within(each)
         tail = low[row].astype(np.uint64) | high[row].astype(np.uint64) << np.uint64(32)
-        name = mix(np.repeat(key[chosen], each) + tail * np.uint64(0x9E3779B97F4A7C15)) ^ tail
+        anchor = np.repeat(kind[chosen], each)
         start = np.repeat(pos[chosen], each) - offset[row]
         where = np.repeat(_places(doc, sha), each)
-        by = np.argsort(name, kind="stable")
-        name, start, where = name[by], start[by], where[by]
-        same = np.zeros(len(name), bool)
-        same[1:] = name[1:] == name[:-1]
+        by = np.lexsort((tail, anchor))
+        anchor, tail, start, where = anchor[by], tail[by], start[by], where[by]
+        same = np.zeros(len(anchor), bool)
+        same[1:] = (anchor[1:] == anchor[:-1]) & (tail[1:] == tail[:-1])
         if len(same):
             head = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
             same &= (where != where[head]) | (start != start[head])
