@@ -48,6 +48,22 @@ def test_rules_against_brute_force(spark, slices, rules):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
+def test_many_rules_from_a_table(spark):
+    """Rules are rows, and a slice is swept beside those of its own hosts only."""
+    r = random.Random(5)
+    rules = list(dict.fromkeys(f"h{r.randrange(4000)}.{r.choice(['org', 'com'])}/" + "/".join(r.choices("pq", k=r.randrange(0, 5))) for _ in range(30000)))
+    given = [(n, ("allow", "block")[n % 2], rule) for n, rule in enumerate(rules)]
+    table = spark.createDataFrame([*given, (len(given), "block", rules[0]), (None, None, "com/"), (1, "allow", None)], "n long, verdict string, rule string")
+    urls = [f"http://www.h{r.randrange(4500)}.{r.choice(['org', 'com'])}/" + "/".join(r.choices("pqr", k=r.randrange(0, 6))) for _ in range(2000)]
+    got = url_filters.url_verdicts(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), table, "none", 40)
+    by_host = {}
+    for _, verdict, rule in given:
+        by_host.setdefault(rule.partition("/")[0], []).append((verdict, rule))
+    want = [(i, *judged(u, by_host.get(parts(u)[0][4:], []), "none")) for i, u in enumerate(urls)]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert len({v for *_, v in want}) == 3
+
+
 def test_no_pages(spark):
     assert url_filters.url_verdicts(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
