@@ -48,8 +48,7 @@ def op7_lm_score(spark, sf_dir):
 
 
 def op8_decontaminate(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    found = decontaminate.for_rows(docs, decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")))
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), every_row=True)
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
