@@ -97,13 +97,43 @@ class Ordinal:
     thresholds: np.ndarray
 
     def score(self, at: np.ndarray, feature: np.ndarray, value: np.ndarray) -> np.ndarray:
-        return np.diff(np.concatenate([[0.0], np.cumsum(self.weights[feature] * value)])[at])
+        """Each row's own sum, whatever rows stand beside it."""
+        row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        return np.bincount(row, self.weights[feature].astype(np.float64) * value, len(at) - 1)
 
     def tails(self, score: np.ndarray) -> np.ndarray:
         """P(grade >= j) for j = 1, 2, ... in columns."""
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -60, 60)))
 
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
+
+
+def thresholds_of(first: np.ndarray, gaps: np.ndarray) -> np.ndarray:
+    """Ordered thresholds: the first, and logarithms of the distances to the others."""
+    return np.concatenate([first, first + np.cumsum(np.exp(gaps))])
+
+
+def likelihood(w: np.ndarray, first: np.ndarray, gaps: np.ndarray, row: np.ndarray, column_: np.ndarray, value: np.ndarray, grade: np.ndarray) -> tuple[float, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The mean negative logarithm of the probabilities of the grades, and its slopes by w, first and gaps."""
+    t = thresholds_of(first, gaps)
+    s = np.bincount(row, w[column_] * value, len(grade))
+    # P(grade >= j), with 1 below and 0 above
+    tail = np.hstack([np.ones((len(s), 1)), _sigmoid(s[:, None] - t[None, :]), np.zeros((len(s), 1))])
+    slope = tail * (1 - tail)
+    i = np.arange(len(s))
+    p = np.maximum(tail[i, grade] - tail[i, grade + 1], 1e-12)
+    g = -1 / (p * len(grade))  # of the mean loss, for each row's probability
+    by_score = g * (slope[i, grade] - slope[i, grade + 1])
+    by_t = np.zeros((len(s), GRADES + 1))
+    by_t[i, grade] -= g * slope[i, grade]
+    by_t[i, grade + 1] += g * slope[i, grade + 1]
+    by_t = by_t[:, 1:GRADES].sum(0)
+    slopes = (np.bincount(column_, by_score[row] * value, len(w)), np.array([by_t.sum()]), np.array([by_t[k + 1 :].sum() for k in range(GRADES - 2)]) * np.exp(gaps))
+    return float(-np.log(p).mean()), slopes
+
+
 def fit(at: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarray, penalty: float = 0.0022, rounds: int = 200, rate: float = 1.0, least_rows: int = 4) -> Ordinal:
     """Likelihood of the cumulative-link model with an absolute penalty on the weights, by proximal Adam.
 
@@ -117,27 +147,10 @@ def fit(at: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarra
     used, column_ = np.unique(feature, return_inverse=True)
     w, first, gaps = np.zeros(len(used)), np.array([-1.0]), np.full(GRADES - 2, 0.5)
     state = [[np.zeros_like(x), np.zeros_like(x)] for x in (w, first, gaps)]
-
-    def sigmoid(x):
-        return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
-
     for step in range(1, rounds + 1):
         now = rate * min(1.0, 3 * (1 - step / rounds) + 0.02)
-        t = np.concatenate([first, first + np.cumsum(np.exp(gaps))])
-        s = np.bincount(row, w[column_] * value, len(grade))
-        # P(grade >= j), with 1 below and 0 above
-        tail = np.hstack([np.ones((len(s), 1)), sigmoid(s[:, None] - t[None, :]), np.zeros((len(s), 1))])
-        slope = tail * (1 - tail)
-        i = np.arange(len(s))
-        p = np.maximum(tail[i, grade] - tail[i, grade + 1], 1e-12)
-        g = -1 / (p * len(grade))  # of the mean loss, for each row's probability
-        by_score = g * (slope[i, grade] - slope[i, grade + 1])
-        by_t = np.zeros((len(s), GRADES + 1))
-        by_t[i, grade] -= g * slope[i, grade]
-        by_t[i, grade + 1] += g * slope[i, grade + 1]
-        by_t = by_t[:, 1:GRADES].sum(0)
-        grads = (np.bincount(column_, by_score[row] * value, len(used)), np.array([by_t.sum()]), np.array([by_t[k + 1 :].sum() for k in range(GRADES - 2)]) * np.exp(gaps))
-        for x, d, m in zip((w, first, gaps), grads, state, strict=True):
+        _, slopes = likelihood(w, first, gaps, row, column_, value, grade)
+        for x, d, m in zip((w, first, gaps), slopes, state, strict=True):
             m[0] = 0.9 * m[0] + 0.1 * d
             m[1] = 0.99 * m[1] + 0.01 * d * d
             pace = now / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-8)
@@ -146,7 +159,7 @@ def fit(at: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarra
                 np.copyto(w, np.sign(w) * np.maximum(np.abs(w) - pace * penalty, 0))
     weights = np.zeros(FEATURES, np.float32)
     weights[used] = w
-    return Ordinal(weights, np.concatenate([first, first + np.cumsum(np.exp(gaps))]))
+    return Ordinal(weights, thresholds_of(first, gaps))
 
 
 def grade_of(quality, toxic):
@@ -157,6 +170,8 @@ def grade_of(quality, toxic):
 def train(docs: DataFrame, labels: DataFrame, most_labels: int = 8000) -> Ordinal | None:
     """The classifier fitted to at most ``most_labels`` labelled documents, a sample by a hash of the ids."""
     graded = labels.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("label_id"), grade_of(F.col("quality"), F.col("toxic")).cast("int").alias("grade"))
+    # Labels without a document take no place in the sample.
+    graded = graded.join(docs.select(F.col("doc_id").cast("long").alias("label_id")), "label_id", "left_semi")
     # Ordered by hash, so the sample does not depend on partitions; top-k keeps only its rows in each task.
     chosen = graded.orderBy(F.xxhash64("label_id"), "label_id", "grade").limit(most_labels)
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))

@@ -160,14 +160,53 @@ def test_the_classifier_orders_grades_on_held_out_rows(spark):
 
 
 def test_the_gradient_is_that_of_the_likelihood():
+    """Each slope against a central difference of the loss, at random points."""
     r = np.random.default_rng(3)
+    grade = r.integers(0, 3, 40)
+    row, column = r.integers(0, 40, 200), r.integers(0, 6, 200)
+    value = r.random(200)
+    for _ in range(5):
+        at = [r.normal(size=6), r.normal(size=1), r.normal(size=1)]
+        _, slopes = quality.likelihood(*at, row, column, value, grade)
+        for which, own in enumerate(at):
+            for k in range(len(own)):
+                losses = []
+                for step in (1e-6, -1e-6):
+                    moved = [x.copy() for x in at]
+                    moved[which][k] += step
+                    losses.append(quality.likelihood(*moved, row, column, value, grade)[0])
+                assert slopes[which][k] == pytest.approx((losses[0] - losses[1]) / 2e-6, rel=1e-4, abs=1e-8)
+
+
+def test_the_fit_separates_grades():
     grade = np.repeat([0, 1, 2], 60)
     at = np.arange(181)
-    feature = grade.astype(np.int32)
-    model = quality.fit(at, feature, np.ones(180, np.float32), grade)
-    tails = model.tails(model.score(at, feature, np.ones(180, np.float32)))
+    model = quality.fit(at, grade.astype(np.int32), np.ones(180, np.float32), grade)
+    tails = model.tails(model.score(at, grade.astype(np.int32), np.ones(180, np.float32)))
     assert model.thresholds[0] < model.thresholds[1]
-    assert ((tails >= 0.5).sum(1) == grade).all() and r is not None
+    assert ((tails >= 0.5).sum(1) == grade).all()
+
+
+def test_a_score_does_not_depend_on_the_rows_beside_it():
+    r = np.random.default_rng(4)
+    sizes = r.integers(0, 300, 500)
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    feature, value = r.integers(0, quality.FEATURES, at[-1]).astype(np.int32), r.random(at[-1]).astype(np.float32)
+    model = quality.Ordinal(r.normal(size=quality.FEATURES).astype(np.float32), np.array([0.0, 1.0]))
+    whole = model.score(at, feature, value)
+    for i in range(500):
+        own = slice(at[i], at[i + 1])
+        assert model.score(np.array([0, sizes[i]]), feature[own], value[own])[0] == whole[i]
+        assert whole[i] == pytest.approx(math.fsum(float(w) * float(v) for w, v in zip(model.weights[feature[own]], value[own])), abs=1e-9)
+
+
+def test_labels_without_a_document_take_no_place(spark):
+    rows, labels = labelled(spark)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    own = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    strangers = spark.range(10_000, 40_000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality", "0 as toxic")
+    alone, beside = quality.train(docs, own, 300), quality.train(docs, own.unionByName(strangers), 300)
+    assert (alone.weights == beside.weights).all() and (alone.thresholds == beside.thresholds).all()
 
 
 def test_labels_of_one_kind_none_and_awkward_rows(spark):
