@@ -7,7 +7,13 @@ are text, so Spark's own text sink writes them to any file system, gzip-compress
 The reader takes whole archive files. Plain files and single gzip streams are read from version line to
 version line; archives with a gzip member for each record are read member by member. When a record fails a
 check (version line, header, length, closing line ends, digest, gzip checksum), the reader looks for the next
-version line or gzip member that does pass, goes on from there, and logs the bytes between as a gap.
+version line or gzip member that does pass, goes on from there, and logs the bytes between as a gap. A payload can
+itself hold something that looks like a record: where only the digest is wrong, the reader goes on behind the whole
+record, and a record that it finds by searching must name its type and id and, if the archive's headers before it
+have digests, a digest that agrees.
+
+A task holds one archive file (at most 2 GB, Spark's limit of a binary file) and what one gzip member of it holds;
+the writer's files are of ``FILE_BYTES``.
 
 Defined cases: a url, and with it a header, may have any length; a null html is an empty payload; a null page id is written as an empty one and read as null;
 a page without an id is always a response; pages
@@ -110,7 +116,10 @@ def _urn(text: str) -> int | None:
 
 
 def parse_record(data: bytes, at: int) -> tuple[dict | None, int, str]:
-    """(record or none, where it ends, what is wrong) of the record that should begin at ``at``."""
+    """(record or none, where it ends, what is wrong) of the record that should begin at ``at``.
+
+    Of what is no good record the end is ``at``, or, if its length is borne out and only its digest is not, its end.
+    """
     if not data.startswith(VERSION, at):
         return None, at, "no version line"
     head, begin, wrong = _header(data, at)
@@ -124,26 +133,38 @@ def parse_record(data: bytes, at: int) -> tuple[dict | None, int, str]:
     payload, kind = data[begin:end], head.get("warc-type", "")
     digest = head.get("warc-payload-digest", "").removeprefix("sha256:")
     if kind != "revisit" and digest and hashlib.sha256(payload).hexdigest() != digest:
-        return None, at, "digest differs"
+        return None, end + 4, "digest differs"
     size = head.get("x-payload-length", "")
     record = {"url": head.get("warc-target-uri"), "payload": payload, "page_id": _urn(head.get("warc-record-id", "")), "payload_bytes": int(size) if size.isdigit() else len(payload), "payload_digest": digest or hashlib.sha256(payload).hexdigest(), "record_type": kind, "refers_to": _urn(head.get("warc-refers-to", ""))}
     return record, end + 4, ""
 
 
+def _found(data: bytes, at: int, digests: bool) -> int:
+    """Where the next record that identifies itself begins, from ``at`` on; else the end of the data."""
+    at = data.find(VERSION, at)
+    while at >= 0:
+        if parse_record(data, at)[0] is not None:
+            head = _header(data, at)[0] or {}
+            if head.get("warc-type") and head.get("warc-record-id") and (head.get("warc-payload-digest") or not digests):
+                return at
+        at = data.find(VERSION, at + 1)
+    return len(data)
+
+
 def salvage(data: bytes) -> Iterator[dict]:
     """Records and gaps of plain WARC bytes, in order; together they cover every byte."""
-    at = 0
+    at, digests = 0, False
     while at < len(data):
         record, end, wrong = parse_record(data, at)
+        if data.startswith(VERSION, at):
+            digests |= bool((_header(data, at)[0] or {}).get("warc-payload-digest"))
         if record is not None:
             yield {"kind": "record", "begin": at, "end": end, "reason": None, **record}
-            at = end
-            continue
-        begin, at = at, data.find(VERSION, at + 1)
-        while at >= 0 and parse_record(data, at)[0] is None:
-            at = data.find(VERSION, at + 1)
-        at = len(data) if at < 0 else at
-        yield {"kind": "gap", "begin": begin, "end": at, "reason": wrong}
+        else:
+            if end == at:
+                end = _found(data, at + 1, digests)
+            yield {"kind": "gap", "begin": at, "end": end, "reason": wrong}
+        at = end
 
 
 def _member(data: bytes, at: int) -> tuple[bytes, int, str]:

@@ -165,6 +165,23 @@ def test_salvage_of_plain_bytes():
         assert any(x["kind"] == "gap" and x["reason"] for x in found)
 
 
+def test_a_damaged_payload_is_not_read_as_records():
+    records = archive()
+    inner = b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    posing = inner.replace(b"Content", b"WARC-Type: response\r\nWARC-Record-ID: <urn:page:77>\r\nContent")
+    signed = archive(1)[0].replace(b"urn:page:0", b"urn:page:78")
+    for k, body in ((0, inner * 3), (3, inner * 3), (3, posing), (0, posing), (3, signed)):
+        head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{k}>\r\nWARC-Payload-Digest: sha256:{'0' * 64}\r\nContent-Length: ".encode()
+        whole = head + str(len(body)).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+        false_length = head + str(len(body) + 7).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+        for broken in (whole, false_length)[: 1 + (body is not signed)]:
+            data = b"".join([*records[:k], broken, *records[k + 1 :]])
+            found = list(warc.salvage(data))
+            covered(found, len(data))
+            assert [x["page_id"] for x in found if x["kind"] == "record"] == [i for i in range(8) if i != k]
+            assert [x["end"] - x["begin"] for x in found if x["kind"] == "gap"] == [len(broken)]
+
+
 def test_salvage_of_gzip_members():
     records = archive()
     members = [gzip.compress(x, mtime=0) for x in records]
