@@ -22,10 +22,13 @@ classes over the threshold is at the end either verified itself or inside one co
 sorted, the first that two sets share stands behind misses only, so a pair is looked at only in routes that
 stand early enough in both.
 
+A route of very many classes, such as one of a very common line, is dealt to parts, and each two parts, and each
+part with itself, are a tree of their own, so that its pairs are spread over tasks.
+
 Defined cases: a document without words, or of null text, has an empty set and is linked with nothing; rows
-that repeat are members of one class; a null ``doc_id`` gets the component of its class,
-and a class of such rows only is linked with nothing; extra columns are
-ignored. Classes are told apart by 64 bits of hash together with their size.
+that repeat are members of one class; rows without a ``doc_id`` link like others and have the smallest id of
+their component, null if it has none; extra columns are ignored. Classes have numbers of 64 bits and are checked by
+64 more: sets that share a number but not the check, which about 10^10 documents make likely, are an error.
 """
 
 from __future__ import annotations
@@ -46,10 +49,14 @@ from folioscan.llm.textblocks import Words, blocks, column, grams, mix, starts_o
 BLOCK_BYTES = 6 << 20
 #: A point has about one coordinate for so many elements, as a power of two within these bounds.
 PER_GROUP, LEAST_GROUPS, MOST_GROUPS = 2, 64, 1 << 14
+#: Seed of the second number of a set.
+CHECK = 0x9FB21C651E98DF25
 #: More than there are size bands.
 BANDS = 256
 #: Points in a leaf of a tree, and children of a node.
 LEAF = 32
+#: Classes of a route that are not yet dealt to parts.
+MOST_IN_TREE = 1024
 #: Pairs that a tree looks at together.
 STEP = 1 << 14
 #: Members that one task verifies against a centre at a time.
@@ -80,10 +87,10 @@ def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[new], starts_of(np.bincount(doc[new], minlength=len(counts)))
 
 
-def set_ids(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+def set_ids(hashes: np.ndarray, at: np.ndarray, seed: int = 0x2545F4914F6CDD1D) -> np.ndarray:
     """One number for each set, by its content; 0 for the empty set."""
     total = np.zeros(len(hashes) + 1, _U)
-    np.cumsum(mix(hashes ^ _U(0x2545F4914F6CDD1D)), out=total[1:], dtype=_U)
+    np.cumsum(mix(hashes ^ _U(seed)), out=total[1:], dtype=_U)
     size = np.diff(at).astype(_U)
     return np.where(size > 0, mix((total[at[1:]] - total[at[:-1]]) + size * _U(0x9E3779B97F4A7C15)) | _U(1), _U(0))
 
@@ -143,10 +150,10 @@ def _routes(n: int, percent: int, shards: int):
 
     def block(table: pa.Table) -> pa.RecordBatch:
         hashes, at = shingle_sets(column(table, "text"), n)
-        ids, size = set_ids(hashes, at), np.diff(at)
-        doc_id = column(table, "doc_id")
+        ids, again, size = set_ids(hashes, at), set_ids(hashes, at, CHECK), np.diff(at)
+        doc_id, sha = column(table, "doc_id"), column(table, "text_sha").to_numpy(zero_copy_only=False)
         none = doc_id.is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
-        shard, blob = [0], [pack([np.zeros(1, np.int8), ids, doc_id.fill_null(0).to_numpy(zero_copy_only=False), none, size.astype(np.int32)])]
+        shard, blob = [0], [pack([np.zeros(1, np.int8), ids, doc_id.fill_null(0).to_numpy(zero_copy_only=False), none, size.astype(np.int32), sha, again.view(np.int64)])]
         own, first = np.unique(ids, return_index=True)
         first = first[own != 0]
         # Of the members of a class only one sends routes and a point.
@@ -181,28 +188,28 @@ def _routes(n: int, percent: int, shards: int):
     return routes
 
 
-FOUND = "kind int, id long, value long, size int, other int, point binary"
+FOUND = "kind int, id long, value long, size int, other int, point binary, text_sha long, again long"
 
 
 def _shared(percent: int):
-    """Of a shard, rows of FOUND: members (0: id, value doc_id, size), classes (1: id, size, point), pairs of routes
+    """Of a shard, rows of FOUND: members (0: id, value doc_id, size, hash of the text, check of the id), classes (1: id, size, point), pairs of routes
     with two classes (2: id, value the other's id, both sizes), and classes of larger routes (3: id, value route,
     size, other the hash's place in the set times BANDS, plus the size band). Classes without a partner of a fitting size in their route are left out."""
     names = [f.split()[0] for f in FOUND.split(", ")]
 
-    def rows(kind, ids, value, size, other, data=None):
+    def rows(kind, ids, value, size, other, data=None, marks=()):
         for k in range(0, len(ids), 20_000):
             part = slice(k, k + 20_000)
             count = len(ids[part])
             value_ = value[part] if isinstance(value, pa.Array) else pa.array(value[part].view(np.int64))
-            yield pa.record_batch([pa.array(np.full(count, kind, np.int32)), pa.array(ids[part].view(np.int64)), value_, pa.array(size[part].astype(np.int32)), pa.array(other[part].astype(np.int32)), pa.nulls(count, pa.binary()) if data is None else pa.array(data[part], pa.binary())], names)
+            yield pa.record_batch([pa.array(np.full(count, kind, np.int32)), pa.array(ids[part].view(np.int64)), value_, pa.array(size[part].astype(np.int32)), pa.array(other[part].astype(np.int32)), pa.nulls(count, pa.binary()) if data is None else pa.array(data[part], pa.binary()), *([pa.array(x[part]) for x in marks] or [pa.nulls(count, pa.int64())] * 2)], names)
 
     def one(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         held = []
         for blob in blobs:
             x = unpack(blob)
             if x[0].dtype == np.int8 and x[0][0] == 0:
-                yield from rows(0, x[1], pa.array(x[2], mask=x[3].astype(bool)), x[4], np.zeros(len(x[1])))
+                yield from rows(0, x[1], pa.array(x[2], mask=x[3].astype(bool)), x[4], np.zeros(len(x[1])), None, x[5:])
             elif x[0].dtype == np.int8:
                 cut, data = starts_of(x[3]), x[4].tobytes()
                 yield from rows(1, x[1], x[1], x[2], np.zeros(len(x[1])), [data[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)])
@@ -261,10 +268,12 @@ class CountTree:
         self.quarter = vectors.shape[1] // 4
         self.rest = self.vectors[:, self.quarter :].sum(1, dtype=np.int64)
 
-    def survivors(self, percent: int, apart: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Pairs (i, j) of the points given whose bound reaches the threshold and whose ``apart`` differ, with the
-        bound, in parts. Nodes are gone through in parts too, so that memory stays small for any number of points."""
+    def survivors(self, percent: int, apart: np.ndarray, side: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Pairs (i, j) of the points given whose bound reaches the threshold and whose ``apart`` differ, and whose
+        ``side`` differs if it is given, with the bound, in parts. Nodes are gone through in parts too, so that memory
+        stays small for any number of points."""
         apart = apart[self.order]
+        self.side = None if side is None else side[self.order]
         top = len(self.levels) - 1
         count = len(self.levels[top][0])
         a, b = np.triu_indices(count)
@@ -279,6 +288,8 @@ class CountTree:
             least = needed(low[x], low[y], percent)
             if level == 0:
                 fits &= (x < y) & (apart[x] != apart[y]) & (self.place[x] <= self.size[x] - least) & (self.place[y] <= self.size[y] - least)
+                if self.side is not None:
+                    fits &= self.side[x] != self.side[y]
                 i = np.flatnonzero(fits)
                 part = np.minimum(top[x[i], : self.quarter], top[y[i], : self.quarter]).sum(1, dtype=np.int64)
                 i = i[part + np.minimum(self.rest[x[i]], self.rest[y[i]]) >= least[i]]
@@ -307,13 +318,13 @@ class CountTree:
         return x[good], y[good]
 
 
-def nearest(tree: CountTree, percent: int, apart: np.ndarray) -> np.ndarray:
+def nearest(tree: CountTree, percent: int, apart: np.ndarray, side: np.ndarray | None = None) -> np.ndarray:
     """For each point the one of another ``apart`` whose bound gives the largest similarity, -1 if none reaches the threshold."""
     count = len(tree.size)
     size = np.empty(count, np.int64)
     size[tree.order] = tree.size
     best, other = np.zeros(count), np.full(count, -1)
-    for i, j, bound in tree.survivors(percent, apart):
+    for i, j, bound in tree.survivors(percent, apart, side):
         score = bound / (size[i] + size[j] - bound)
         row, partner, score = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([score, score])
         by = np.lexsort((partner, score, row))
@@ -348,23 +359,23 @@ def _bounded(percent: int):
 
 
 def _searched(percent: int, every: bool):
-    """Rows sorted by route, with the classes of one route together.
+    """Rows sorted by tree, with the classes of one tree together: those of a route, or of two parts of it, its sides.
 
     Each class's nearest partner of another component (kind 0, a, b), and the places that had one (kind 1, id,
     route); with ``every``, all pairs of different components (kind 0).
     """
 
-    def one(ids, size, place, apart, vectors, route):
+    def one(ids, size, place, apart, vectors, route, side):
         tree = CountTree(vectors, size, place)
         if not every:
-            other = nearest(tree, percent, apart)
+            other = nearest(tree, percent, apart, side)
             i = np.flatnonzero(other >= 0)
             pairs = np.unique(np.sort(np.stack([ids[i], ids[other[i]]], 1), axis=1), axis=0)
             alive = np.unique(np.concatenate([i, other[i]]))
             yield 0, pairs[:, 0], pairs[:, 1]
             yield 1, ids[alive], np.full(len(alive), route)
         else:
-            for i, j, _ in tree.survivors(percent, apart):
+            for i, j, _ in tree.survivors(percent, apart, side):
                 yield 0, np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
 
     def out(held: list[list]) -> pa.RecordBatch:
@@ -372,17 +383,18 @@ def _searched(percent: int, every: bool):
         return pa.record_batch([pa.array(rows[:, 0].astype(np.int32)), pa.array(rows[:, 1]), pa.array(rows[:, 2])], ["kind", "a", "b"])
 
     def settle(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        route, ids, size, apart, other = (column(table, x).to_numpy() for x in ("route", "id", "size", "component", "other"))
+        name, route, ids, size, apart, other, sides = (column(table, x).to_numpy() for x in ("tree", "route", "id", "size", "component", "other", "side"))
         data = column(table, "point")
-        cut = np.append(np.flatnonzero(np.append(True, route[1:] != route[:-1])), len(route))
+        cut = np.append(np.flatnonzero(np.append(True, name[1:] != name[:-1])), len(name))
         held: list[list] = [[], [], []]
         count = 0
         for a, b in zip(cut[:-1], cut[1:], strict=True):
-            if (apart[a:b] == apart[a]).all():
+            side = None if sides[a] < 0 else sides[a:b]
+            if (apart[a:b] == apart[a]).all() or side is not None and (side == side[0]).all():
                 continue
             groups = group_count(int(other[a] % BANDS), percent)
             vectors = np.stack([read_point(x, _stored(int(n), percent), groups) for x, n in zip(data[a:b].to_pylist(), size[a:b].tolist(), strict=True)])
-            for kind, x, y in one(ids[a:b], size[a:b], other[a:b] // BANDS, apart[a:b], vectors, route[a]):
+            for kind, x, y in one(ids[a:b], size[a:b], other[a:b] // BANDS, apart[a:b], vectors, route[a], side):
                 for own, v in zip(held, (np.full(len(x), kind, np.int32), x, y), strict=True):
                     own.append(v)
                 count += len(x)
@@ -398,8 +410,8 @@ def _searched(percent: int, every: bool):
             table = pa.Table.from_batches([batch])
             if rest is not None:
                 table = pa.concat_tables([rest, table])
-            route = column(table, "route").to_numpy()
-            last = int(np.searchsorted(route, route[-1])) if len(route) else 0
+            name = column(table, "tree").to_numpy()
+            last = int(np.searchsorted(name, name[-1])) if len(name) else 0
             if last:
                 yield from settle(table.slice(0, last))
             rest = table.slice(last)
@@ -442,6 +454,13 @@ def _verified(n: int, percent: int):
     return verified
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    """(none, first_doc, text_sha, text): the texts by what classes know them by. Rows without an id are one for each text."""
+    own = docs.select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("first_doc"), F.xxhash64("text").alias("text_sha"), "text")
+    nameless = own.where("none").groupBy("none", "first_doc", "text_sha").agg(F.first("text").alias("text"))
+    return own.where("not none").unionByName(nameless)
+
+
 def verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
     """Of pairs (a, b) of classes those that reach the threshold, in either order. Of a pair the class of more pairs
     is the centre, which is sent once to each chunk of about CHUNK members."""
@@ -452,8 +471,8 @@ def verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, percen
     chunks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
     members = pairs.join(chunks, "a").select(F.col("b").alias("id"), F.col("a").alias("centre"), F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("role"))
     centres = chunks.select(F.col("a").alias("id"), F.col("a").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("role"))
-    sends = members.unionByName(centres).join(classes.select("id", "first_doc"), "id")
-    texts = docs.select(F.col("doc_id").cast("long").alias("first_doc"), "text").join(sends, "first_doc").select("id", "centre", "chunk", "role", "text")
+    sends = members.unionByName(centres).join(classes.select("id", "none", "first_doc", "text_sha"), "id")
+    texts = _texts(docs).join(sends, ["first_doc", "text_sha", "none"]).select("id", "centre", "chunk", "role", "text")
     return texts.repartition("centre", "chunk").sortWithinPartitions("centre", "chunk", "role").mapInArrow(_verified(n, percent), "a long, b long")
 
 
@@ -488,19 +507,30 @@ def bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
 
 def _trees(routes: DataFrame, points: DataFrame, percent: int, every: bool) -> DataFrame:
     """The search of every route's tree. Rows: id, route, size, other, component."""
-    ready = routes.join(points.select("id", "point"), "id").select("route", "id", "size", "component", "other", "point")
-    return ready.repartition("route").sortWithinPartitions("route", "size", "id").mapInArrow(_searched(percent, every), "kind int, a long, b long")
+    parts = routes.groupBy("route").agg(F.ceil(F.count(F.lit(1)) / MOST_IN_TREE).cast("int").alias("parts")).where("parts > 1")
+    own = routes.join(parts, "route", "left").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    ready = own.join(points.select("id", "point"), "id")
+    # A part meets each part, itself included.
+    ready = ready.withColumn("met", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
+    pair = F.least("part", "met"), F.greatest("part", "met")
+    tree = F.when(F.col("parts").isNull(), F.col("route")).otherwise(F.xxhash64("route", *pair))
+    side = F.when(F.col("parts").isNull() | (F.col("part") == F.col("met")), -1).otherwise((F.col("part") < F.col("met")).cast("int"))
+    ready = ready.select(tree.alias("tree"), "route", "id", "size", "component", "other", side.alias("side"), "point")
+    return ready.repartition("tree").sortWithinPartitions("tree", "size", "id").mapInArrow(_searched(percent, every), "kind int, a long, b long")
 
 
 def linked_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach), class_id."""
+    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach), class_id, text_sha (its xxhash64)."""
     spark = docs.sparkSession
     shards = shard_count(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sent = docs.mapInArrow(_routes(n, percent, shards), "shard int, data binary")
+    sent = docs.withColumn("text_sha", F.xxhash64("text")).mapInArrow(_routes(n, percent, shards), "shard int, data binary")
     found = written(dealt(sent).mapInArrow(_shared(percent), FOUND), "routes")
-    members = found.where("kind = 0").select("id", F.col("value").alias("doc_id"), "size")
-    classes = members.where("id <> 0").groupBy("id").agg(F.min("doc_id").alias("first_doc"))
+    members = found.where("kind = 0").select("id", F.col("value").alias("doc_id"), "size", "text_sha", "again")
+    # The text of a class is that of its member with the smallest id.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("first_doc"), "text_sha"))
+    checked = F.when(F.min("again") == F.max("again"), first).otherwise(F.raise_error(F.lit("two different sets have one class number")))
+    classes = members.where("id <> 0").groupBy("id").agg(checked.alias("first")).select("id", "first.*")
     points = found.where("kind = 1").groupBy("id").agg(F.first("size").alias("size"), F.first("point").alias("point"))
     routes = found.where("kind = 3").select("id", F.col("value").alias("route"), "size", "other")
     # Pairs of routes with two classes: they must share enough routes, larger ones counted as shared.
@@ -527,7 +557,7 @@ def linked_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFra
     placed = members.join(names, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = placed.where("id <> 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = placed.join(least, "component", "left")
-    return out.select("doc_id", F.col("size").cast("long").alias("n_shingles"), F.when(F.col("id") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.col("id").alias("class_id"))
+    return out.select("doc_id", F.col("size").cast("long").alias("n_shingles"), F.when(F.col("id") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.col("id").alias("class_id"), "text_sha")
 
 
 def _least_routes(percent: int):
@@ -540,7 +570,10 @@ def _least_routes(percent: int):
 
 
 def representatives(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component, the one with the smallest id, with all its columns; those without an id stay."""
-    drop = linked_components(docs, n, percent).where("component_id < doc_id").select(F.col("doc_id").alias("id")).distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct("*").alias("row"))
-    return rows.join(drop, "id", "left_anti").select("row.*")
+    """One document of each component, the one with the smallest id, with all its columns; those without an id stay.
+
+    Rows that share an id are told apart by their texts.
+    """
+    drop = linked_components(docs, n, percent).where("component_id < doc_id").select(F.col("doc_id").alias("id"), F.col("text_sha").alias("sha")).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("sha"), F.struct("*").alias("row"))
+    return rows.join(drop, ["id", "sha"], "left_anti").select("row.*")

@@ -2,9 +2,10 @@ import hashlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from folioscan.llm import exact_dedup, ngram_join, substring_dedup
+from folioscan.llm import exact_dedup, exchange, ngram_join, substring_dedup
 from tests.llm import data
 
 
@@ -157,6 +158,44 @@ def test_ngram_join_of_awkward_rows(spark):
     assert {r["text"] for r in kept.collect()} >= {"", None, "one", "only here"}
 
 
+@pytest.mark.parametrize("most", [2, 5])
+def test_parts_of_a_route_lose_no_link(spark, monkeypatch, most):
+    """The same as whole trees: 60 texts that all share a long passage, in families around the threshold."""
+    monkeypatch.setattr(ngram_join, "MOST_IN_TREE", most)
+    common, rows = data.words(60, 900), []
+    for k in range(60):
+        base = data.words(140, 910 + k // 6, 3000)
+        rows.append((k, " ".join(common + data.edited(base, 30 + 11 * (k % 6), k))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.linked_components(docs).collect()}
+    assert got == brute_components(rows, 4, 85)
+
+
+def test_documents_without_an_id_link_others(spark):
+    """1 and 2 are not near enough to each other, but both are to a text without an id, which stands there twice."""
+    base = data.words(300, 77, 5000)
+    left, right = list(base), list(base)
+    left[40:49], right[240:249] = data.words(9, 78, 9), data.words(9, 79, 9)
+    rows = [(1, " ".join(left)), (2, " ".join(right)), (None, " ".join(base)), (None, " ".join(base)), (None, "quite another text"), (7, "one more text here"), (7, " ".join(right))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ids = {t: k for k, t in enumerate(dict.fromkeys(t for _, t in rows))}
+    brute = brute_components([(k, t) for t, k in ids.items()], 4, 90)
+    assert brute[0][1] == brute[1][1] == brute[2][1] == 0 and brute_components([(1, rows[0][1]), (2, rows[1][1])], 4, 90)[2][1] == 2
+    got = ngram_join.linked_components(docs, percent=90).collect()
+    assert Counter((r["doc_id"], r["component_id"]) for r in got) == Counter([(1, 1), (2, 1), (None, 1), (None, 1), (None, None), (7, 7), (7, 1)])
+    kept = ngram_join.representatives(docs, 4, 90).collect()
+    assert Counter(r["doc_id"] for r in kept) == Counter([1, None, None, None, 7]) and (7, "one more text here") in map(tuple, kept)
+
+
+def test_sets_of_one_number_differ_in_their_check(monkeypatch):
+    own = ngram_join.set_ids
+    monkeypatch.setattr(ngram_join, "set_ids", lambda hashes, at, *seed: own(hashes, at, *seed) if seed else np.full(len(at) - 1, 5, np.uint64))
+    table = pa.table({"doc_id": [1, 2, 3], "text": ["a b c d e", "f g h i j", "a b c d e"], "text_sha": [10, 20, 10]})
+    blobs = [exchange.unpack(x) for b in ngram_join._routes(4, 85, 2)(iter(table.to_batches())) for x in b.column(1).to_pylist()]
+    (members,) = [m for m in blobs if m[0].dtype == np.int8 and m[0][0] == 0]
+    assert (members[1] == 5).all() and members[6][0] == members[6][2] != members[6][1]
+
+
 @pytest.mark.parametrize("leaf,step", [(32, 1 << 14), (4, 50)])
 def test_count_tree_drops_only_what_its_bound_rules_out(monkeypatch, leaf, step):
     monkeypatch.setattr(ngram_join, "LEAF", leaf)
