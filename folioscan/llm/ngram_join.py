@@ -57,6 +57,8 @@ BANDS = 256
 LEAF = 32
 #: Classes of a route that are not yet dealt to parts.
 MOST_IN_TREE = 1024
+#: Rows of two numbers that are broadcast at most.
+MOST_BROADCAST = 1 << 19
 #: Pairs that a tree looks at together.
 STEP = 1 << 14
 #: Members that one task verifies against a centre at a time.
@@ -505,9 +507,14 @@ def bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInArrow(_bounded(percent), "a long, b long")
 
 
-def _trees(routes: DataFrame, points: DataFrame, percent: int, every: bool) -> DataFrame:
+def _parts(routes: DataFrame) -> DataFrame:
+    """(route, parts) of the routes of more than MOST_IN_TREE classes; broadcast if they are few."""
+    found = written(routes.groupBy("route").agg(F.ceil(F.count(F.lit(1)) / MOST_IN_TREE).cast("int").alias("parts")).where("parts > 1"), "parts")
+    return F.broadcast(found) if found.count() <= MOST_BROADCAST else found
+
+
+def _trees(routes: DataFrame, parts: DataFrame, points: DataFrame, percent: int, every: bool) -> DataFrame:
     """The search of every route's tree. Rows: id, route, size, other, component."""
-    parts = routes.groupBy("route").agg(F.ceil(F.count(F.lit(1)) / MOST_IN_TREE).cast("int").alias("parts")).where("parts > 1")
     own = routes.join(parts, "route", "left").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     ready = own.join(points.select("id", "point"), "id")
     # A part meets each part, itself included.
@@ -540,7 +547,8 @@ def linked_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFra
     most = F.col("own") + F.least(F.coalesce("more_a", F.lit(0)), F.coalesce("more_b", F.lit(0)))
     twos = bounded(twos.where(most >= _least_routes(percent)).select("a", "b"), points, percent)
     # Larger routes: each class's nearest partner.
-    near = written(_trees(routes.withColumn("component", F.col("id")), points, percent, False), "near")
+    parts = _parts(routes)
+    near = written(_trees(routes.withColumn("component", F.col("id")), parts, points, percent, False), "near")
     tried = written(near.where("kind = 0").select("a", "b").unionByName(twos).distinct(), "pairs")
     links = written(verify(docs, tried, classes, n, percent), "links")
     names = components(links)
@@ -550,7 +558,7 @@ def linked_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFra
     for every in (False, True):
         told = places.join(names, "id", "left").withColumn("component", F.coalesce("component", "id"))
         open_ = told.groupBy("route").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("route")
-        found_ = _trees(told.join(open_, "route", "left_semi"), points, percent, every).where("kind = 0").select("a", "b").distinct()
+        found_ = _trees(told.join(open_, "route", "left_semi"), parts, points, percent, every).where("kind = 0").select("a", "b").distinct()
         pairs = written(written(found_, "found").join(tried, ["a", "b"], "left_anti"), "pairs")
         links = links.union(written(verify(docs, pairs, classes, n, percent), "links"))
         names, tried = components(links), tried.union(pairs)
