@@ -35,11 +35,21 @@ def impact(tf: Column, df: Column, dl: Column, n_docs: Column, avgdl: Column) ->
     return idf * tf / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
-def impacts(docs: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
-    """(term, key, impact): scores are added up at build time, so that a query is one join and one sum."""
-    posted = postings(docs, key, text)
-    stats = corpus_stats(doc_lengths(docs, key, text))
-    scored = posted.join(document_frequency(posted), "term").crossJoin(F.broadcast(stats))  # one row
+def impacts(docs: DataFrame, key: str = "chunk_id", text: str = "text", terms: DataFrame | None = None) -> DataFrame:
+    """(term, key, impact): scores are added up at build time, so that a query is one join and one sum.
+
+    With ``terms`` (term; small ones as a broadcast side) only their impacts, for a table that is searched but not
+    indexed: other terms are dropped before anything is grouped. Lengths and frequencies are of all documents.
+    """
+    words = docs.select(key, T.terms(F.col(text)).alias("terms")).withColumn("dl", F.size("terms").cast("long"))
+    stats = corpus_stats(words)
+    # As an outer one this does not make the optimizer cut the words once more, to see whether there are any.
+    each = words.select(key, "dl", F.explode_outer("terms").alias("term"))
+    each = each.where("term is not null") if terms is None else each.join(terms, "term", "left_semi")
+    posted = each.groupBy(key, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    # Written with tf, so that both sides of the join are read from one exchange.
+    df = posted.groupBy("term").agg(F.sum((F.col("tf") > 0).cast("long")).alias("df"))
+    scored = posted.join(df, "term").crossJoin(F.broadcast(stats))  # one row
     return scored.select("term", key, impact(F.col("tf"), F.col("df"), F.col("dl"), F.col("n_docs"), F.col("avgdl")).alias("impact"))
 
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +15,8 @@ from folioscan.functions import text as T
 DEPTH, FUSION, TOP, THRESHOLD = 30, 60, 6, 0.1
 #: Rows of questions that may be broadcast; beyond, they are joined by shuffles.
 BROADCAST_ROWS = 10_000
+#: Scores that a task holds at a time, and the decimal places by which they are ranked.
+MOST_SCORES, PLACES = 1 << 21, 5
 
 
 def check_arguments(threshold: float = THRESHOLD, top_k: int = TOP) -> None:
@@ -33,24 +40,74 @@ def top(scored: DataFrame, score: str, key: str, depth: int = DEPTH) -> DataFram
     return scored.withColumn("rank", F.row_number().over(along)).where(F.col("rank") <= depth)
 
 
+def question_terms(questions: DataFrame) -> DataFrame:
+    """(query_id, term): the distinct terms of each question; a broadcast side if they are few."""
+    return small(questions.select("query_id", F.explode(F.array_distinct(T.terms(F.col("question")))).alias("term")), 20 * BROADCAST_ROWS)
+
+
 def bm25(questions: DataFrame, impacts: DataFrame, key: str = "chunk_id", depth: int = DEPTH) -> DataFrame:
     """(query_id, key, score, rank): distinct terms of a question joined with impacts; only positive scores come out."""
-    terms = questions.select("query_id", F.explode(F.array_distinct(T.terms(F.col("question")))).alias("term"))
-    sums = impacts.join(small(terms, 20 * BROADCAST_ROWS), "term").groupBy("query_id", key).agg(F.round(F.sum("impact"), 6).alias("score"))
+    sums = impacts.join(question_terms(questions), "term").groupBy("query_id", key).agg(F.round(F.sum("impact"), 6).alias("score"))
     return top(sums.where("score > 0"), "score", key, depth)
 
 
+def _matrices(queries: pa.Table) -> dict[int, tuple[pa.Array, np.ndarray]]:
+    """By dimension, ids and unit vectors of the questions whose vectors are whole and not zero."""
+    ids, matrices = column(queries, "query_id"), {}
+    for size, rows, vectors in _units(column(queries, "vector")):
+        matrices[size] = (ids.take(pa.array(rows)), vectors)
+    return matrices
+
+
+def column(table: pa.Table | pa.RecordBatch, name: str) -> pa.Array:
+    found = table.column(name)
+    return found.combine_chunks() if isinstance(found, pa.ChunkedArray) else found
+
+
+def _units(vectors: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each dimension (dimension, rows, vectors of length 1); null and zero vectors, and those with a null in them, are left out."""
+    lengths = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+    for size in np.unique(lengths[lengths > 0]).tolist():
+        rows = np.flatnonzero(lengths == size)
+        flat = vectors.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+        norm = np.sqrt((flat * flat).sum(1))
+        good = norm > 0  # false for a null, which is NaN here
+        yield size, rows[good], flat[good] / norm[good, None]
+
+
+def _nearest(matrices: dict[int, tuple[pa.Array, np.ndarray]], key: str, depth: int):
+    """Of each batch of vectors the ``depth`` best for each question, and all that round to the same score as the last of them."""
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = column(batch, key)
+            for size, rows, units in _units(column(batch, "vector")):
+                ids, questions = matrices.get(size, (None, np.zeros((0, size))))
+                step = max(1, MOST_SCORES // max(1, len(units)))
+                for k in range(0, len(questions), step):
+                    scores = questions[k : k + step] @ units.T
+                    least = np.full(len(scores), -np.inf) if len(units) <= depth else np.partition(scores, len(units) - depth, axis=1)[:, len(units) - depth]
+                    which, found = np.nonzero(scores >= least[:, None] - 2 * 10.0**-PLACES)
+                    yield pa.record_batch([ids.take(pa.array(k + which)), keys.take(pa.array(rows[found])), pa.array(scores[which, found])], ["query_id", key, "score"])
+
+    return nearest
+
+
 def dense(queries: DataFrame, vectors: DataFrame, key: str = "chunk_id", depth: int = DEPTH) -> DataFrame:
-    """(query_id, key, score, rank) by cosine. Every vector meets every question: exact search of a stated set
-    of questions, in blocks of at most ``BROADCAST_ROWS`` questions; each task keeps its own best."""
-    count = queries.count()
-    blocks = max(1, -(-count // BROADCAST_ROWS))
+    """(query_id, key, score, rank) by cosine, rounded; ties by key. Every vector meets every question: exact search of a
+    stated set of questions, as products of matrices. The questions go to the tasks in blocks of at most
+    ``BROADCAST_ROWS``, a batch of vectors keeps its own best for each question, and only these are shuffled.
+
+    A vector that is null, zero or holds a null, or has another dimension than a question's, is no match for it.
+    """
+    blocks = max(1, -(-queries.count() // BROADCAST_ROWS))
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, {key} {vectors.schema[key].dataType.simpleString()}, score double"
     found = None
     for b in range(blocks):
         own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        met = vectors.crossJoin(F.broadcast(own.select("query_id", F.col("vector").alias("query_vector"))))
-        met = met.select("query_id", key, F.round(T.cosine(F.col("query_vector"), F.col("vector")), 5).alias("score")).where("score is not null")
-        ranked = top(met, "score", key, depth)
+        matrices = _matrices(own.select("query_id", "vector").toArrow())
+        met = vectors.select(key, "vector").mapInArrow(_nearest(matrices, key, depth), schema)
+        ranked = top(met.withColumn("score", F.round("score", PLACES)), "score", key, depth)
         found = ranked if found is None else found.unionByName(ranked)
     return found
 

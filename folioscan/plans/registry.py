@@ -451,7 +451,9 @@ def doc_stats(spark, sf):
 
 
 def _impacts(spark, sf):
-    return I.impacts(D.chunks(spark, sf).select(F.col("id").alias("chunk_id"), "text"))
+    """Impacts of the questions' terms."""
+    terms = S.small(S.question_terms(D.questions(spark, sf)).select("term").distinct(), 20 * S.BROADCAST_ROWS)
+    return I.impacts(D.chunks(spark, sf).select(F.col("id").alias("chunk_id"), "text"), terms=terms)
 
 
 @query(BM + " select query_id, chunk_id, score, rank from bm")
