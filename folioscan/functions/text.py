@@ -7,7 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, DataType, StringType
 
 # What the patterns below must recognise.
 TOC_PAIR = r"(?U)([^\W\d_][^\d\n]{2,70}?)\s*[.·•‧∙…\-_ ]{1,}(\d{1,4})(?=\s|$)"
@@ -31,10 +31,34 @@ def mask_line(c: Column) -> Column:
     return F.regexp_replace(F.lower(squeeze(c)), r"(?U)\d+", "#")
 
 
-@F.pandas_udf(StringType())
-def title_key(s: pd.Series) -> pd.Series:
-    """NFKC, case-folded, single spaces: what headings are compared by. Spark has no such normal form."""
-    return s.map(lambda x: None if x is None else " ".join(unicodedata.normalize("NFKC", x).casefold().split()))
+def _folded(x):
+    """NFKC, case-folded, single spaces, of a text or of all texts of an array."""
+    if x is None:
+        return None
+    if isinstance(x, str):
+        return " ".join(unicodedata.normalize("NFKC", x).casefold().split())
+    return [_folded(y) for y in x]
+
+
+def _folding(kind: DataType):
+    @F.pandas_udf(kind)
+    def fold(s: pd.Series) -> pd.Series:
+        return s.map(_folded)
+
+    return fold
+
+
+def title_key(c: Column) -> Column:
+    """What headings, and answers with the terms they must hold, are compared by. Spark has no such normal form."""
+    return _folding(StringType())(c)
+
+
+def title_keys(c: Column, depth: int = 1) -> Column:
+    """title_key() of an array of texts, or with ``depth`` 2 of an array of arrays."""
+    kind: DataType = StringType()
+    for _ in range(depth):
+        kind = ArrayType(kind)
+    return _folding(kind)(c)
 
 
 def contains_word(text: Column, term: Column) -> Column:

@@ -60,12 +60,13 @@ def answer_cases(cases: DataFrame, from_hits: bool = True) -> DataFrame:
 
     With ``from_hits`` all retrieved pages are evidence, else only the first hit's.
     """
-    text = F.lower(T.squeeze(F.coalesce("answer", F.lit(""))))
-    has = lambda term: T.contains_word(text, F.lower(T.squeeze(term)))
-    checks = F.forall("must_contain", has) & F.forall("must_contain_any", lambda group: F.exists(group, has)) & F.forall("must_not_hallucinate", lambda term: ~has(term))
+    # Compared in one normal form, so that ligatures, full-width letters or ß and SS make no difference.
+    cases = cases.withColumns({"_said": T.title_key(F.coalesce("answer", F.lit(""))), "_all": T.title_keys(F.col("must_contain")), "_any": T.title_keys(F.col("must_contain_any"), 2), "_none": T.title_keys(F.col("must_not_hallucinate"))})
+    has = lambda term: T.contains_word(F.col("_said"), term)
+    checks = F.forall("_all", has) & F.forall("_any", lambda group: F.exists(group, has)) & F.forall("_none", lambda term: ~has(term))
     cited = T.cited_pages(F.coalesce("answer", F.lit("")))
     evidence = F.col("retrieved_pages") if from_hits else F.array_compact(F.array("first_page"))
-    rows = cases.withColumns({"checks": checks, "cited": cited, "evidence": evidence})
+    rows = cases.withColumns({"checks": checks, "cited": cited, "evidence": evidence}).drop("_said", "_all", "_any", "_none")
     some = F.size("cited") > 0
     exact = some & (F.size(F.array_except("cited", F.flatten("groups"))) == 0) & (F.size(F.array_except("cited", "evidence")) == 0)
     answerable = F.col("category").isin(*ANSWERABLE)

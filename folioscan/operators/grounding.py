@@ -81,14 +81,18 @@ def guarded(evidence: DataFrame) -> DataFrame:
 
 
 def prompts(questions: DataFrame, evidence: DataFrame, history: DataFrame | None = None) -> DataFrame:
-    """(query_id, prompt): JSON of question, the last turns and the evidence by rank; page numbers are left out."""
-    own = evidence.where(F.col("rank") <= MOST_HITS).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "section_path", "text"))), lambda x: F.struct((x["rank"] - 1).alias("source"), x["section_path"].alias("section"), x["text"].alias("text"))).alias("evidence"))
-    rows = questions.join(own, "query_id", "left")
+    """(query_id, prompt, problem): JSON of question, the last turns and the evidence by rank; page numbers are left out.
+
+    Evidence is never cut: with too many hits, or too much of it, there is a problem in the prompt's place.
+    """
+    bad = guarded(evidence).where("problem is not null").select("query_id", "problem")
+    own = evidence.join(bad, "query_id", "left_anti").groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "section_path", "text"))), lambda x: F.struct((x["rank"] - 1).alias("source"), x["section_path"].alias("section"), x["text"].alias("text"))).alias("evidence"))
+    rows = questions.join(bad, "query_id", "left").join(own, "query_id", "left")
     if history is not None:
         rows = rows.join(history, "query_id", "left")
     else:
         rows = rows.withColumn("history", F.array().cast("array<string>"))
-    return rows.select("query_id", F.to_json(F.struct("question", "history", "evidence")).alias("prompt"))
+    return rows.select("query_id", F.when(F.col("problem").isNull(), F.to_json(F.struct("question", "history", "evidence"))).alias("prompt"), "problem")
 
 
 def last_turns(turns: DataFrame, n: int = 12) -> DataFrame:

@@ -70,11 +70,12 @@ def vectors(spark, sf_dir) -> DataFrame:
 
 
 def outline(spark, sf_dir) -> DataFrame:
-    """(book_id, ord, title, level, pdf_index): of each region a book; nations are parts, their first suppliers chapters."""
+    """(book_id, ord, title, level, pdf_index): of each region a book; nations are parts, their suppliers chapters and
+    each third of them, from the second, a section of the one before."""
     n, s, r = (table(spark, sf_dir, x) for x in ("nation", "supplier", "region"))
     own = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
-    chapters = s.withColumn("nth", F.row_number().over(own)).where("nth <= 3").join(n, s.s_nationkey == n.n_nationkey)
-    parts = n.select(F.col("n_regionkey").alias("k"), (F.col("n_nationkey") * 100).alias("o"), F.col("n_name").alias("title"), F.lit(1).alias("level"))
-    below = chapters.select(F.col("n_regionkey"), F.col("s_nationkey") * 100 + F.col("nth"), F.col("s_name"), F.when(F.col("nth") == 1, 2).when(F.col("nth") == 2, 3).otherwise(2))
+    chapters = s.withColumn("nth", F.row_number().over(own)).join(n, s.s_nationkey == n.n_nationkey)
+    parts = n.select(F.col("n_regionkey").alias("k"), (F.col("n_nationkey").cast("long") * 1_000_000).alias("o"), F.col("n_name").alias("title"), F.lit(1).alias("level"))
+    below = chapters.select(F.col("n_regionkey"), F.col("s_nationkey").cast("long") * 1_000_000 + F.col("nth"), F.col("s_name"), F.when(F.col("nth") % 3 == 2, 3).otherwise(2))
     rows = parts.unionByName(below.toDF("k", "o", "title", "level")).join(r, F.col("k") == r.r_regionkey)
     return rows.select(F.col("r_name").alias("book_id"), F.col("o").cast("long").alias("ord"), "title", "level", F.col("o").cast("long").alias("pdf_index"))

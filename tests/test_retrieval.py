@@ -227,7 +227,12 @@ def test_prompts_history_and_guards(spark):
     turns = spark.createDataFrame([(1, k) for k in range(20)], "conv_id long, turn long")
     assert [r["turn"] for r in G.last_turns(turns).orderBy("turn").collect()] == list(range(8, 20))
     evidence = spark.createDataFrame([(0, k + 1, "S", "t" * 10) for k in range(8)], "query_id long, rank int, section_path string, text string")
-    prompt = json.loads(G.prompts(spark.createDataFrame([(0, "q?")], "query_id long, question string"), evidence).first()["prompt"])
+    questions = spark.createDataFrame([(0, "q?")], "query_id long, question string")
+    many = G.prompts(questions, evidence).first()
+    assert many["prompt"] is None and many["problem"] == "too many hits"
+    long = G.prompts(questions, evidence.where("rank = 1").withColumn("text", F.repeat(F.lit("t"), 80_001))).first()
+    assert long["prompt"] is None and long["problem"] == "too much evidence"
+    prompt = json.loads(G.prompts(questions, evidence.where("rank <= 6")).first()["prompt"])
     assert [e["source"] for e in prompt["evidence"]] == list(range(6)) and "page" not in str(prompt)
     assert G.guarded(evidence).first()["problem"] == "too many hits"
     replies = models.answered(spark.createDataFrame([(0, "p"), (1, "boom")], "query_id long, prompt string"), lambda: lambda p: p.upper() if p == "p" else (_ for _ in ()).throw(RuntimeError("secret"))).collect()
@@ -262,6 +267,14 @@ def test_answers_are_checked(spark):
     assert total["generation_errors"] == 1 and not total["generation_target_met"] and total["correct_refusal"] == 1.0
 
 
+def test_terms_are_compared_in_one_normal_form(spark):
+    _, own = cases(spark, [("a", 1, 42, "S")])
+    terms = [("STRASSE", ["\ufb01ne"], "x", True), ("stra\u00dfe", ["absent", "\uff26ine"], "x", True), ("Stra", ["fine"], "x", False), ("strasse", ["none"], "x", False), ("strasse", ["fine"], "\ufb01NE", False)]
+    for all_, any_, none, passed in terms:
+        case = own.where("id = 'a'").withColumns({"must_contain": F.array(F.lit(all_)), "must_contain_any": F.array(F.array(*map(F.lit, any_))), "must_not_hallucinate": F.array(F.lit(none)), "answer": F.lit("The  Stra\u00dfe is fine (p. 42)"), "error": F.lit(None).cast("string")})
+        assert evaluation.answer_cases(case).first()["answer_checks_passed"] == passed
+
+
 def test_dataset_checks(spark):
     q, _ = cases(spark, [])
     assert evaluation.dataset_problems(q).count() == 0
