@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -39,44 +40,57 @@ def reranker(make: Callable[[], Callable[[list[str], list[str]], list[float]]],
     return rerank
 
 
-def answered(prompts: DataFrame, make: Callable[[], Callable[[str], str]]) -> DataFrame:
-    """Prompts (query_id, prompt) with the reply ``raw``, or ``error`` without any of the service's message."""
+def answered(prompts: DataFrame, make: Callable[[], Callable[[str], str | tuple[str, bool]]]) -> DataFrame:
+    """Prompts (query_id, prompt) with the reply ``raw``, or ``error`` without any of the service's message.
+
+    A client returns the reply, or the reply and whether it came to its own end; one that was cut off is an error.
+    """
+
+    def reply(ask, prompt):
+        try:
+            said = ask(prompt)
+        except (OSError, ValueError, RuntimeError):
+            return None, "Generation failed"
+        text, ended = (said, True) if isinstance(said, str) else said
+        return (text, None) if ended else (None, "The reply was cut off")
 
     def call(batches):
         ask = make()
         for pdf in batches:
-            raw, error = [], []
-            for prompt in pdf["prompt"]:
-                try:
-                    raw.append(ask(prompt))
-                    error.append(None)
-                except (OSError, ValueError, RuntimeError):
-                    raw.append(None)
-                    error.append("Generation failed")
-            yield pdf.assign(raw=pd.Series(raw, index=pdf.index, dtype=object), error=pd.Series(error, index=pdf.index, dtype=object))
+            told = [reply(ask, prompt) for prompt in pdf["prompt"]]
+            raw, error = (pd.Series([t[k] for t in told], index=pdf.index, dtype=object) for k in (0, 1))
+            yield pdf.assign(raw=raw, error=error)
 
     schema = StructType([*prompts.schema.fields, StructField("raw", StringType()), StructField("error", StringType())])
     return prompts.mapInPandas(call, schema)
 
 
-def chat_client(url: str, key: str, model: str, system: str, max_tokens: int = 800, timeout: int = 60) -> Callable[[str], str]:
-    """A reply from a service that speaks the common chat-completions format. Errors are passed on without their text."""
-    import json
-    import urllib.error
-    import urllib.request
+def posted(url: str, key: str, timeout: int = 60) -> Callable[[dict], dict]:
+    """Sends JSON to a service and returns its JSON."""
+    from urllib.request import Request, urlopen
 
     if not key.strip():
         raise RuntimeError("no key for the service; nothing was sent")
 
-    def ask(prompt: str) -> str:
-        body = {"model": model, "temperature": 0, "max_tokens": max_tokens, "response_format": {"type": "json_object"}, "messages": [{"role": "system", "content": system}, {"role": "user", "content": prompt}]}
-        request = urllib.request.Request(url, json.dumps(body).encode(), {"Authorization": f"Bearer {key}", "Content-Type": "application/json"}, method="POST")
+    def send(body: dict) -> dict:
+        headers = {"Authorization": f"Bearer {key}", "Content-Type": "application/json"}
+        with urlopen(Request(url, json.dumps(body).encode(), headers), timeout=timeout) as reply:
+            return json.load(reply)
+
+    return send
+
+
+def chat_client(url: str, key: str, model: str, system: str, max_tokens: int = 800, timeout: int = 60, send: Callable[[dict], dict] | None = None) -> Callable[[str], tuple[str, bool]]:
+    """Replies of a service that speaks the common chat-completions format, and whether each came to its end."""
+    send = send or posted(url, key, timeout)
+    fixed = {"model": model, "temperature": 0, "max_tokens": max_tokens, "response_format": {"type": "json_object"}}
+
+    def ask(prompt: str) -> tuple[str, bool]:
+        turns = [{"role": role, "content": text} for role, text in (("system", system), ("user", prompt))]
         try:
-            with urllib.request.urlopen(request, timeout=timeout) as reply:
-                return json.load(reply)["choices"][0]["message"]["content"]
-        except urllib.error.HTTPError as e:
-            raise RuntimeError(f"the service answered {e.code}") from None
-        except (OSError, ValueError, KeyError, IndexError, TypeError):
+            first = send(fixed | {"messages": turns})["choices"][0]
+            return str(first["message"]["content"]), first.get("finish_reason", "stop") == "stop"
+        except (OSError, ValueError, LookupError, TypeError, AttributeError):
             raise RuntimeError("the service gave no valid answer") from None
 
     return ask

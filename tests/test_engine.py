@@ -1,3 +1,5 @@
+import io
+import json
 import subprocess
 import sys
 import time
@@ -7,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from folioscan.operators import grounding as G
 from folioscan.plans import cli, registry
 from folioscan.streaming import index_stream
 
@@ -100,6 +103,49 @@ def test_the_command_line(spark, tmp_path, capsys):
     assert cli.run(["ingest", str(tmp_path / "bad"), "--output", str(tmp_path / "no")]) == 1
 
 
+def test_asking_evaluating_and_calibrating(spark, tmp_path, capsys, monkeypatch):
+    from tests.test_retrieval import demo
+    from folioscan.operators import ingest
+    from folioscan.sources import files
+
+    files.write_chunks(ingest.ingest(*demo(spark)), str(tmp_path / "chunks"))
+    chunks, models = str(tmp_path / "chunks"), ["--models", "tests.fakes:MODELS", "--index", str(tmp_path / "index")]
+    # Both branches, and a grounded answer with its page.
+    assert cli.run(["ask", chunks, "the bridge of mist", "--debug", *models]) == 0
+    out = capsys.readouterr().out
+    first = json.loads(out.splitlines()[0])
+    assert first["page"] == 42 and first["bm25_rank"] == 1 and first["dense_rank"] is not None and out.splitlines()[-1] == "It is said. (p. 42)"
+    assert len(list((tmp_path / "index").iterdir())) == 1
+    # Nothing is found: a refusal, and nothing is sent.
+    assert cli.run(["ask", chunks, "zzqy", *models]) == 0 and capsys.readouterr().out == G.NOT_FOUND
+    assert cli.run(["ask", chunks, "the bridge of mist is cut", *models]) == 1 and "cut off" in capsys.readouterr().err
+    assert cli.run(["ask", chunks, "  ", *models]) == 1 and cli.run(["ask", chunks, "q", "--threshold", "2", *models]) == 1
+    assert cli.run(["ask", chunks, "q", "--models", "tests.no_such_module:X"]) == 2
+    capsys.readouterr()
+    # A conversation over one index; the history can be shown and cleared.
+    monkeypatch.setattr("sys.stdin", io.StringIO("the bridge of mist\n\n/history\n/clear\n/history\nthe bridge of mist\n/quit\nnot read\n"))
+    assert cli.run(["repl", chunks, *models]) == 0
+    assert capsys.readouterr().out.splitlines() == ["It is said. (p. 42)", "the bridge of mist", "It is said. (p. 42)", "", "It is said. (p. 42)"]
+    assert len(list((tmp_path / "index").iterdir())) == 1
+    # Exit codes of an evaluation: met, not met, impossible.
+    asked = [{"id": "a", "category": "factual", "question": "the bridge of mist", "expected_pages": [42]}]
+    for name, page, code in (("good", 42, 0), ("bad", 7, 1)):
+        (tmp_path / name).write_text("x")
+        path = tmp_path / f"{name}.json"
+        path.write_text(json.dumps({"questions": [asked[0] | {"expected_pages": [page]}]}))
+        assert cli.run(["evaluate", chunks, str(path), "--output", str(tmp_path / f"out-{name}"), *models]) == code
+        assert json.loads(capsys.readouterr().out)["recall_at_6"] == (code == 0)
+    assert cli.run(["evaluate", chunks, str(tmp_path / "good.json"), "--generate", *models]) == 0
+    assert json.loads(capsys.readouterr().out)["citation_exact"] == 1.0
+    for argv in ([str(tmp_path / "none.json"), *models], [str(tmp_path / "good.json"), "--generate", "--models", "tests.fakes:EMBEDDING"], [str(tmp_path / "good.json"), "--threshold", "3", *models]):
+        assert cli.run(["evaluate", chunks, *argv]) == 2
+    (tmp_path / "c.json").write_text(json.dumps({"passages": [{"page": 1, "section": "s", "text": "the red door"}, {"page": 2, "section": "s", "text": "a blue wall"}], "cases": [{"question": "red door", "pages": [1]}, {"question": "green roof"}]}))
+    capsys.readouterr()
+    assert cli.run(["calibrate", str(tmp_path / "c.json"), "--output", str(tmp_path / "calibration")]) == 0
+    got = json.loads(capsys.readouterr().out)
+    assert got["accuracy"] == 1.0 and got["threshold"] == 1.0 and got["admitted"] == got["refused"] == 1 and len(got["corpus_sha256"]) == 64
+
+
 def test_guard_of_a_repository(spark, tmp_path, capsys):
     run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), *a], check=True, capture_output=True)
     run("init")
