@@ -6,7 +6,8 @@ its own, and sequences of one length form a bucket that is trained on together.
 documents and none needs padding.
 
 Token ids come from a public tokenizer, whose path is a parameter. A batch's texts are cut where the
-tokenizer's own splitting always begins a new piece; each distinct unit is encoded once and the ids are put together again, exactly as the whole text's.
+tokenizer's own splitting always begins a new piece; each distinct unit is encoded once and the ids are put together again, exactly as the whole text's. That is the byte-level rule with its own pattern; texts of a tokenizer that
+normalises or splits otherwise are encoded whole.
 
 Defined cases: null text counts as empty and yields the end id alone; rows that repeat are packed each;
 extra columns are ignored.
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -88,6 +90,13 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
+def _divides(rules: dict) -> bool:
+    """Whether a tokenizer, given as JSON, splits by the byte-level rule alone, so that units can be encoded apart."""
+    split, model = rules.get("pre_tokenizer") or {}, rules["model"]
+    bare = not any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "unk_token"))
+    return not rules.get("normalizer") and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and model["type"] == "BPE" and bare
+
+
 class Encoder:
     """Token ids of whole texts with a tokenizer file. Units met before are remembered, up to a fixed number."""
 
@@ -98,6 +107,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
+        self.divides = _divides(json.loads(self.own.to_str()))
         self.model = self.own.model
         self.letters = _byte_letters()
         self.known: dict[str, int] = {}
@@ -125,6 +135,9 @@ class Encoder:
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, where each text's begin)."""
+        if not self.divides:
+            found = [x.ids for x in self.own.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+            return np.array([i for x in found for i in x], np.int64), starts_of(np.array([len(x) for x in found], np.int64))
         raw, ends = utf8(texts)
         begin = unit_cuts(raw, ends)
         place = np.searchsorted(begin, ends)
