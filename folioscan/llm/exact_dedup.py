@@ -30,10 +30,10 @@ def exact_dedup(docs: DataFrame, keep: str = "max", rounds: int = 6) -> DataFram
     if keep not in ("min", "max"):
         raise ValueError("keep is min or max")
     # The tree retains the smallest rank; nulls rank last.
-    sign = 1 if keep == "min" else -1
+    ranked_by = F.col if keep == "min" else F.bitwise_not  # which turns the order of all 64-bit numbers round
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"))
     rows = rows.withColumn("run", F.pmod(F.xxhash64("doc_id"), F.lit(1 << rounds)).cast("int"))
-    ranked = F.min(F.struct(F.col("doc_id").isNull().alias("none"), (F.col("doc_id") * sign).alias("rank")))
+    ranked = F.min(F.struct(F.col("doc_id").isNull().alias("none"), ranked_by("doc_id").alias("rank")))
     level = rows.groupBy("key", "run").agg(F.count(F.lit(1)).alias("n"), ranked.alias("first"))
     levels, steps = [level], [min(STEP, rounds - k) for k in range(0, rounds, STEP)]
     for step in steps:
@@ -45,14 +45,14 @@ def exact_dedup(docs: DataFrame, keep: str = "max", rounds: int = 6) -> DataFram
         told = down.select("key", F.col("run").alias("over"), "n", "first")
         down = below.join(told, ["key", "over"]).select("key", "run", "n", "first")
     out = rows.join(down, ["key", "run"])
-    keep_id = F.col("first.rank") * sign
+    keep_id = ranked_by("first.rank")
     return out.select("doc_id", keep_id.alias("keep_id"), F.col("n").alias("group_size"), F.col("doc_id").eqNullSafe(keep_id).alias("kept"), F.lower(F.hex("key.digest")).alias("text_sha256"))
 
 
 def kept_documents(docs: DataFrame, keep: str = "max") -> DataFrame:
     """The documents that stay, with all their columns; of rows that share text and id one stays."""
-    none = F.lit(-(2**63))
-    named = docs.select(F.coalesce(F.col("doc_id").cast("long"), none).alias("id"), text_key(F.col("text"))["digest"].alias("digest"), F.struct("*").alias("row"))
-    firsts = exact_dedup(docs, keep).where("kept").select(F.coalesce("doc_id", none).alias("id"), F.unhex("text_sha256").alias("digest")).distinct()
+    known = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id")).alias("id")
+    named = docs.select(known, text_key(F.col("text"))["digest"].alias("digest"), F.struct("*").alias("row"))
+    firsts = exact_dedup(docs, keep).where("kept").select(known, F.unhex("text_sha256").alias("digest")).distinct()
     held = named.join(firsts, ["id", "digest"], "left_semi")
     return held.groupBy("id", "digest").agg(F.first("row").alias("row")).select("row.*")
