@@ -61,16 +61,18 @@ def shard_of(key: Column, tree: dict, name: str = "") -> Column:
     return out.cast("int")
 
 
-def assign(docs: DataFrame, tree: Tree, grown: Tree | None = None, buckets: int = 256) -> DataFrame:
+def assign(docs: DataFrame, tree: Tree, grown: Tree | None = None, buckets: int | None = None) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
-    Slots are counted in two steps, within ``buckets`` hashed buckets of each shard and over the buckets'
-    totals, so that no task numbers a whole shard.
+    Slots are counted in two steps, within ``buckets`` hashed buckets of each shard (at least 256, or as many as
+    shuffle partitions) and over the buckets' totals, so that no task numbers a whole shard. A bucket depends on the
+    text too, so that rows that share an id are spread.
     """
+    buckets = buckets or max(256, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     text = F.coalesce("text", F.lit(""))
     key = F.col("doc_id")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"))
-    rows = rows.withColumns({"shard": shard_of(key, tree), "grown_shard": shard_of(key, grown) if grown else F.lit(None).cast("int"), "bucket": F.pmod(F.xxhash64(key, F.lit("slot")), F.lit(buckets)).cast("int")})
+    rows = rows.withColumns({"shard": shard_of(key, tree), "grown_shard": shard_of(key, grown) if grown else F.lit(None).cast("int"), "bucket": F.pmod(F.xxhash64(key, F.col("size"), F.col("text_crc32"), F.lit("slot")), F.lit(buckets)).cast("int")})
     totals = rows.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     # shards x buckets rows, whatever the documents
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
