@@ -87,6 +87,16 @@ def test_exact_dedup(spark, keep):
     assert exact_dedup.exact_dedup(data.none(spark)).count() == 0
 
 
+@pytest.mark.parametrize("keep", ["max", "min"])
+def test_exact_dedup_at_the_ends_of_the_ids(spark, keep):
+    ids = [2**63 - 1, -(2**63), 0, -1, None, None]
+    docs = spark.createDataFrame([(i, "same") for i in ids] + [(None, "alone"), (-(2**63), "other")], "doc_id long, text string")
+    got = Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(docs, keep).collect())
+    stays = 2**63 - 1 if keep == "max" else -(2**63)
+    assert got == Counter([*((i, stays, 6, i == stays) for i in ids), (None, None, 1, True), (-(2**63), -(2**63), 1, True)])
+    assert Counter(map(tuple, exact_dedup.kept_documents(docs, keep).collect())) == Counter([(stays, "same"), (None, "alone"), (-(2**63), "other")])
+
+
 @pytest.mark.parametrize("rounds", [0, 1, 4, 6])
 def test_any_number_of_rounds_agrees(spark, rounds):
     got = exact_dedup.exact_dedup(data.documents(spark), rounds=rounds).collect()

@@ -1,3 +1,5 @@
+import math
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -5,6 +7,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -24,6 +27,15 @@ def test_ids_are_those_of_whole_texts(texts):
     assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [PLAIN.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_a_tokenizer_of_another_rule_encodes_whole_texts():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, plain = packing.Encoder(path), Tokenizer.from_file(path)
+    texts = [x or "" for x in data.texts()[:19]] + ["It's A,b  C\n\nnaïve 12", "<|endoftext|> x"]
+    ids, at = own(pa.array([None, *texts]))
+    assert ENCODER.divides and not own.divides
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [[], *(plain.encode(t, add_special_tokens=False).ids for t in texts)]
+
+
 def test_forgetting_units_changes_nothing(monkeypatch):
     monkeypatch.setattr(packing, "MOST_KNOWN", 5)
     own = packing.Encoder(PATH)
@@ -82,6 +94,28 @@ def test_sharding(spark, make):
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == sizes
 
 
+def test_draws_against_brute_force(spark):
+    """The descent from its definition: of each node's children the one with the smallest exponential variate."""
+    tree = {0: {0: {0: 1.0, 1: 2.5}, 1: {2: 1.0}}, 1: {0: {3: 0.0, 4: 1.0, 5: 3.0}}}
+    ids = [None, 0, -1, 2**63 - 1, -(2**63), *range(10, 400)]
+
+    def weight(node):
+        return sum(map(weight, node.values())) if isinstance(node, dict) else node
+
+    def drawn(key, name, w):
+        seed = 42 if key is None else xxhash.xxh64_intdigest(struct.pack("<q", key), 42)
+        return -math.log(((xxhash.xxh64_intdigest(name.encode(), seed) >> 11) + 0.5) / 2**53) / w
+
+    def descend(key, node, name=""):
+        chosen = min((c for c in node if weight(node[c]) > 0), key=lambda c: drawn(key, f"{name}/{c}", weight(node[c])))
+        return descend(key, node[chosen], f"{name}/{chosen}") if isinstance(node[chosen], dict) else chosen
+
+    for nodes in (tree, sharding.topology(8), sharding.topology(9)):
+        keys = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+        got = keys.select("doc_id", sharding.shard_of(keys.doc_id, nodes).alias("s")).collect()
+        assert {r["doc_id"]: r["s"] for r in got} == {i: descend(i, nodes) for i in ids}
+
+
 def test_shares_follow_weights_and_moves_stay_in_changed_subtrees(spark):
     keys = spark.range(40_000).selectExpr("id as doc_id")
     place = lambda tree: [r[0] for r in keys.select(sharding.shard_of(keys.doc_id, tree)).collect()]

@@ -220,6 +220,46 @@ def test_labels_of_one_kind_none_and_awkward_rows(spark):
     assert quality.quality(data.none(spark), odd).count() == 0
 
 
+def test_each_stage_against_brute_force(spark, tmp_path):
+    """Every stage but the classifier on its own input: copies, near copies, leaks and token sequences by their definitions."""
+    from tests.llm.test_dedup import brute_components
+    from tests.llm.test_packing_sharding import PLAIN
+
+    frame = data.documents(spark)
+    spark.createDataFrame([(13, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([i for i in ITEMS if len((i[1] or "").split()) > 7], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    items = [i for i in ITEMS if i[0] is not None and len((i[1] or "").split()) > 7]
+    docs, sizes = frame, []
+    for name, stage in corpus_pipeline.STAGES:
+        before = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()} if name != "quality_classifier" else None
+        docs = stage(spark, docs, str(tmp_path))
+        docs.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        after = docs.collect()
+        got = {r["doc_id"] for r in after}
+        if name == "exact_duplicates":
+            assert got == {max(d for d, t in before.items() if (t or "") == text) for text in {t or "" for t in before.values()}}
+        elif name == "near_duplicates":
+            near = brute_components(list(before.items()), 5, 80)
+            assert got == {c for _, c in near.values()}
+        elif name == "benchmark_leaks":
+            assert got == {d for d, _, _, met in brute_hits(list(before.items()), items) if met == 0}
+        elif name == "packed":
+            pieces = {}
+            for r in sorted(after, key=lambda r: (r["doc_id"], r["start"])):
+                assert r["length"] & (r["length"] - 1) == 0 and r["start"] == sum(n for n, _ in pieces.get(r["doc_id"], []))
+                pieces.setdefault(r["doc_id"], []).append((r["length"], r["ids_crc32"]))
+            for d, text in before.items():
+                ids, at = [*PLAIN.encode(text or "", add_special_tokens=False).ids, 1], 0
+                for n, crc in pieces.pop(d):
+                    assert crc == zlib.crc32(np.array(ids[at : at + n], "<u4").tobytes())
+                    at += n
+                assert at == len(ids)
+            assert not pieces
+        sizes.append(len(got))
+    assert sizes[0] > sizes[1] > sizes[2] > sizes[3] == sizes[4]
+
+
 def test_the_pipeline_keeps_what_each_stage_keeps(spark, tmp_path):
     base = data.words(300, 41, 2000)
     rows, labels = labelled(spark)
