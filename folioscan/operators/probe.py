@@ -43,8 +43,8 @@ def probe(lines: DataFrame, page_counts: DataFrame, outline: DataFrame, images:
     return out.withColumn("route", F.lit(route)) if route is not None else out
 
 
-def shown(report: dict) -> str:
-    """A probe's row as text for a terminal: at most 8 repeated lines, 6 runs and 4 titles."""
+def shown(report: dict, errors: list[str] = ()) -> str:
+    """A probe's row as text for a terminal: at most 8 repeated lines, 6 runs, 4 titles and 20 errors (``errors``: texts)."""
     lines = [f"{report['book_id']}: {report['page_count']} pages, route {report['route']}"]
     layer, pages = report["text_layer"], report["page_map"]
     lines.append(f"text: {layer['verdict']} {', '.join(layer['reasons'])}".rstrip())
@@ -52,6 +52,14 @@ def shown(report: dict) -> str:
     lines.append(f"pages: {pages['method']} ({pages['source']}), confidence {pages['confidence']:.2f}")
     lines += [f"  {r['pdf_start']}-{r['pdf_end']}: offset {r['page_offset']}" for r in (report["runs"] or [])[:6]]
     lines += [f"  {b['page_ratio']:.0%} {b['zone']}: {b['example']}" for b in (report["boilerplate"] or [])[:8]]
+    if report["columns"]:
+        lines.append(f"columns: {report['columns']['dominant']}, {'stable' if report['columns']['stable'] else 'changing'}")
+    if report["images"]:
+        lines.append(f"images: {report['images']['images']}, large: {report['images']['large']}, heavy: {report['images']['heavy']}")
     if report["toc"]:
+        lines.append(f"contents: {report['toc']['entry_count']} entries")
         lines += [f"  {s}" for s in report["toc"]["sample"][:4]]
+    if errors:
+        lines.append(f"errors: {len(errors)}")
+        lines += [f"  {e}" for e in errors[:20]]
     return "\n".join(lines)

@@ -43,6 +43,12 @@ def sample_pages(pages: DataFrame) -> DataFrame:
     return texts.where((F.col("rank") >= start) & (F.col("rank") < start + SAMPLE_PAGES)).drop("n", "rank")
 
 
+def embedded_fonts(fonts: DataFrame) -> DataFrame:
+    """(book_id, embedded): how many fonts, by name and without the nameless, come with the book (book_id, font, embedded)."""
+    held = F.when(F.col("embedded") & (F.col("font") != ""), F.col("font"))
+    return fonts.groupBy("book_id").agg(F.count_distinct(held).alias("embedded"))
+
+
 def verdicts(pages: DataFrame, fonts: DataFrame | None = None, words: DataFrame | None = None) -> DataFrame:
     """Per book: pages, text pages, median characters, verdict (absent, bad, suspect, native) and reasons.
 

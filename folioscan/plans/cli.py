@@ -1,4 +1,4 @@
-"""Command line: python -m folioscan.plans.cli COMMAND. Books are Parquet folders (lines, outline) of one or more books."""
+"""Command line: python -m folioscan.plans.cli COMMAND. Books are folders of tables, as in sources/books.py."""
 
 from __future__ import annotations
 
@@ -9,9 +9,9 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.operators import hygiene, ingest, probe, profiles, search
+from folioscan.operators import hygiene, ingest, probe, profiles, search, textlayer
 from folioscan.plans import asking
-from folioscan.sources import files
+from folioscan.sources import books, files
 from folioscan.sources.staging import shared_path
 
 VERSION = "0.1.0"
@@ -21,21 +21,15 @@ def session() -> SparkSession:
     return SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
-def _book(spark, path):
-    lines, outline = spark.read.parquet(f"{path}/lines"), spark.read.parquet(f"{path}/outline")
-    counts = lines.groupBy("book_id").agg((F.max("pdf_index") + 1).alias("page_count"))
-    digest = lines.groupBy("book_id").agg(F.sha2(F.concat_ws(":", F.count(F.lit(1)).cast("string"), F.sum(F.xxhash64("pdf_index", "line_no", "text").cast("decimal(38,0)")).cast("string")), 256).alias("file_sha256"))
-    return lines, outline, counts, digest
-
-
 def _profiles(spark, args):
     """The profile that is named, else those of a folder, else none."""
     paths = [args.profile] if args.profile else files.profile_paths(spark, args.profiles_dir) if args.profiles_dir else []
     return files.load_profiles(spark, paths) if paths else None
 
 
-def _report(spark, args, lines, counts, outline):
-    return probe.probe(lines.cache(), counts, outline, profiles=_profiles(spark, args), route=args.route)
+def _report(spark, args, book):
+    fonts = None if book.fonts is None else textlayer.embedded_fonts(book.fonts)
+    return probe.probe(book.lines.cache(), book.page_counts, book.outline, book.images, fonts, _profiles(spark, args), args.route)
 
 
 def _shown(hit) -> str:
@@ -103,15 +97,14 @@ def _evaluation(spark, args) -> int:
 
 
 def _chunks(spark, args):
-    lines, outline, counts, digest = _book(spark, args.book)
-    problems = ingest.preconditions(outline, counts).collect()
+    book = books.read_books(spark, args.book)
+    problems = ingest.preconditions(book.outline, book.page_counts, errors=book.errors).collect()
     if problems:
         print("\n".join(f"{p['book_id']}: {p['problem']}" for p in problems), file=sys.stderr)
         return None
     # The probe's report lies beside the chunks.
-    report = _report(spark, args, lines, counts, outline)
-    files.write_report(report, f"{args.output}/probe")
-    return ingest.ingest(lines, outline, counts, digest, args.max_tokens)
+    files.write_report(_report(spark, args, book), f"{args.output}/probe")
+    return ingest.ingest(book.lines, book.outline, book.page_counts, book.digests, args.max_tokens)
 
 
 def _with_profiles(parser: argparse.ArgumentParser) -> None:
@@ -170,13 +163,15 @@ def run(argv: list[str] | None = None) -> int:
         print("\n".join(f"{r['path']}: {r['problem']}" for r in bad))
         return int(bool(bad))
     if args.command == "probe":
-        lines, outline, counts, _ = _book(spark, args.book)
-        report = _report(spark, args, lines, counts, outline)
+        book = books.read_books(spark, args.book)
+        report = _report(spark, args, book)
         if args.json:
             files.write_report(report, args.json)
         if not args.quiet:
             for row in report.toLocalIterator():
-                print(probe.shown(row.asDict(recursive=True)))
+                # One more than is shown is enough to see that there are more.
+                bad = [] if book.errors is None else book.errors.where(F.col("book_id") == row["book_id"]).orderBy("pdf_index").limit(21).collect()
+                print(probe.shown(row.asDict(recursive=True), [f"page {e['pdf_index'] + 1}: {e['problem']}" for e in bad]))
         return 0
     if args.command == "ingest":
         chunks = _chunks(spark, args)
@@ -186,10 +181,8 @@ def run(argv: list[str] | None = None) -> int:
         files.write_report(ingest.chunk_stats(files.read_chunks(spark, f"{args.output}/chunks")), f"{args.output}/stats")
         return 0
     if args.command == "profile":
-        lines, *_ = _book(spark, args.book)
-        from folioscan.operators import textlayer
-
-        row = textlayer.fingerprints(ingest.page_texts(lines)).join(lines.groupBy("book_id").agg((F.max("pdf_index") + 1).alias("page_count")), "book_id").first()
+        book = books.read_books(spark, args.book)
+        row = textlayer.fingerprints(ingest.page_texts(book.lines)).join(book.page_counts, "book_id").first()
         print(profiles.template(row.asDict(), args.name), end="")
         return 0
     if args.command == "evaluate":

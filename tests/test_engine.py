@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from folioscan.operators import grounding as G
+from folioscan.operators import textlayer
 from folioscan.plans import cli, registry
 from folioscan.streaming import index_stream
 
@@ -103,6 +104,38 @@ def test_the_command_line(spark, tmp_path, capsys):
     assert cli.run(["ingest", str(tmp_path / "bad"), "--output", str(tmp_path / "no")]) == 1
 
 
+def test_books_as_json_lines_with_fonts_images_and_errors(spark, tmp_path, capsys):
+    """Four pages with folios 41 to 44; the third could not be read in the second book, whose text has no font."""
+    from tests.test_retrieval import demo
+    from folioscan.sources import books
+
+    lines, outline, _, _ = demo(spark)
+    other = lambda df: df.unionByName(df.withColumn("book_id", F.lit("c")))
+    kept = other(lines).where("not (book_id = 'c' and pdf_index = 2)")
+    for name, df in (("lines", kept), ("outline", other(outline))):
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(df.toJSON().collect()))
+    rows = {
+        "fonts": [{"book_id": "b", "pdf_index": 0, "font": "A", "embedded": True}, {"book_id": "b", "pdf_index": 1, "font": "A", "embedded": True}, {"book_id": "b", "pdf_index": 1, "font": "", "embedded": True}, {"book_id": "c", "pdf_index": 0, "font": "B", "embedded": False}],
+        "images": [{"book_id": "b", "pdf_index": k, "w": 300, "h": 200, "bytes": 9000} for k in range(4)],
+        "errors": [{"book_id": "c", "pdf_index": 2, "problem": "unreadable"}],
+    }
+    for name, own in rows.items():
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(map(json.dumps, own)))
+    got = books.read_books(spark, str(tmp_path))
+    assert {tuple(r) for r in got.page_counts.collect()} == {("b", 4), ("c", 4)}
+    assert {tuple(r) for r in textlayer.embedded_fonts(got.fonts).collect()} == {("b", 1), ("c", 0)}
+    assert cli.run(["probe", str(tmp_path), "--json", str(tmp_path / "report")]) == 0
+    out = capsys.readouterr().out
+    assert "images: 4, large: 4, heavy: True" in out and "columns: 1" in out and "errors: 1" in out and "page 3: unreadable" in out and out.count("no embedded font") == 1
+    # A book with unread pages is not ingested.
+    assert cli.run(["ingest", str(tmp_path), "--output", str(tmp_path / "no")]) == 1 and "c: pages could not be read" in capsys.readouterr().err
+    with pytest.raises(ValueError):
+        books.read_books(spark, str(tmp_path / "nothing"))
+    (tmp_path / "outline.jsonl").write_text('{"book_id": 3, "ord": "x"}')
+    with pytest.raises(Exception):
+        books.read_books(spark, str(tmp_path)).outline.collect()
+
+
 def test_asking_evaluating_and_calibrating(spark, tmp_path, capsys, monkeypatch):
     from tests.test_retrieval import demo
     from folioscan.operators import ingest
