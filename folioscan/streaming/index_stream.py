@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,10 +17,20 @@ def chunk_stream(spark: SparkSession, path: str, files: int = 100) -> DataFrame:
 
 
 def keep_postings(chunks: DataFrame, path: str, checkpoint: str):
-    """Writes the postings of new chunks, a folder for each batch; a batch that is repeated replaces its own folder."""
+    """Writes the postings of new chunks, a folder for each batch; a batch that is repeated replaces its own folder.
+
+    A chunk counts once, however often and in however many batches it is sent.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         own = batch.dropDuplicates(["id"]).select(F.col("id").alias("chunk_id"), "text")
+        try:
+            held = batch.sparkSession.read.parquet(path).where(F.col("batch") != number)
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+        else:
+            own = own.join(held.select("chunk_id").distinct(), "chunk_id", "left_anti")
         I.postings(own).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return chunks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -74,6 +74,13 @@ def test_streamed_postings(spark, tmp_path):
     stream = index_stream.keep_postings(index_stream.chunk_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state")).trigger(availableNow=True).start()
     stream.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).where("term = 'mist'").count() == 1
+    # The same chunks once more, and a new one.
+    again = files.read_chunks(spark, str(tmp_path / "in"))
+    again.unionByName(again.limit(1).withColumns({"id": F.lit("new"), "text": F.lit("more mist")})).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    stream = index_stream.keep_postings(index_stream.chunk_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state")).trigger(availableNow=True).start()
+    stream.awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "out")).select("batch").distinct().count() == 2
+    assert spark.read.parquet(str(tmp_path / "out")).where("term = 'mist'").count() == 2
 
 
 def test_streamed_windows(spark, tmp_path):
