@@ -3,6 +3,10 @@
 A block writes its records for one shard as a single compressed blob; a shard concatenates the blobs it is
 sent. Spark then moves a few large rows instead of one row a record, and memory follows the size of a block
 or of a shard, whose number is set by ``spark.sql.shuffle.partitions``.
+
+Each block may send to each shard, so the number of blobs is the product of both numbers. Blobs stay large if
+blocks grow with the data: ``spark.folioscan.blockBytes`` sets their bytes of text, of which a task needs some 80
+times as memory.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from folioscan.sources.staging import shared_path, staged as written
 
-__all__ = ["cuts", "dealt", "pack", "shard_count", "shard_of", "shared_path", "unpack", "written"]
+__all__ = ["block_bytes", "cuts", "dealt", "pack", "shard_count", "shard_of", "shared_path", "unpack", "written"]
 
 #: Shards for each shuffle partition: enough to deal them evenly.
 SHARDS_EACH = 4
@@ -25,6 +29,11 @@ def shard_count(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))) * SHARDS_EACH
 
 
+def block_bytes(spark: SparkSession, default: int) -> int:
+    """Bytes of text that a block holds."""
+    return int(spark.conf.get("spark.folioscan.blockBytes", str(default)))
+
+
 def pack(columns: list[np.ndarray]) -> bytes:
     """Columns of any lengths and types as one blob. The first, if it is sorted 64-bit keys, is held as differences."""
     parts, head = [], []

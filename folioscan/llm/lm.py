@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.exchange import cuts, dealt, pack, shard_count, unpack, written
+from folioscan.llm.exchange import block_bytes, cuts, dealt, pack, shard_count, unpack, written
 from folioscan.llm.textblocks import Words, column, mix, starts_of
 from folioscan.llm.textblocks import blocks as text_blocks
 
@@ -104,12 +104,12 @@ class Block:
         return n
 
 
-def _coded(fold: int, folds: int):
+def _coded(fold: int, folds: int, limit: int):
     """Texts as blocks (block, data): ids, sides of the split, word hashes, codes and ends."""
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId() << 32
-        for k, table in enumerate(text_blocks(batches, BLOCK_BYTES)):
+        for k, table in enumerate(text_blocks(batches, limit)):
             ids = column(table, "doc_id")
             own, code, at = tokens(column(table, "text"))
             data = pack([own, code, at, ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False), held_out(ids, fold, folds)])
@@ -315,7 +315,7 @@ def score_documents(docs: DataFrame, order: int = 2, fold: int = 1, folds: int =
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if blocks:
         rows = rows.repartition(blocks)
-    texts = written(rows.mapInArrow(_coded(fold, folds), "block long, data binary"), "lm-texts")
+    texts = written(rows.mapInArrow(_coded(fold, folds, block_bytes(docs.sparkSession, BLOCK_BYTES)), "block long, data binary"), "lm-texts")
     sent = texts.mapInArrow(_counted(order, shards), "shard int, block long, data binary")
     answers = written(dealt(sent, "block").mapInArrow(_answered, "block long, shard int, data binary"), "lm-answers")
     # One small row for each shard

@@ -43,7 +43,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.exchange import cuts, dealt, pack, shard_count, unpack, written
+from folioscan.llm.exchange import block_bytes, cuts, dealt, pack, shard_count, unpack, written
 from folioscan.llm.textblocks import Words, blocks, column, grams, mix, starts_of, within
 
 BLOCK_BYTES = 6 << 20
@@ -147,7 +147,7 @@ def bands(size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     return band, np.floor((np.log(np.maximum(size, 1)) + math.log(100 / percent) + 1e-9) / width).astype(np.int64) > band
 
 
-def _routes(n: int, percent: int, shards: int):
+def _routes(n: int, percent: int, shards: int, limit: int = BLOCK_BYTES):
     """Each block's members and classes with their points, as rows; their routes packed by shard."""
 
     def block(table: pa.Table) -> pa.RecordBatch:
@@ -184,7 +184,7 @@ def _routes(n: int, percent: int, shards: int):
         return pa.record_batch([pa.array(shard, pa.int32()), pa.array(blob, pa.binary())], ["shard", "data"])
 
     def routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in blocks(batches, BLOCK_BYTES):
+        for table in blocks(batches, limit):
             yield block(table)
 
     return routes
@@ -531,7 +531,7 @@ def linked_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFra
     spark = docs.sparkSession
     shards = shard_count(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sent = docs.withColumn("text_sha", F.xxhash64("text")).mapInArrow(_routes(n, percent, shards), "shard int, data binary")
+    sent = docs.withColumn("text_sha", F.xxhash64("text")).mapInArrow(_routes(n, percent, shards, block_bytes(spark, BLOCK_BYTES)), "shard int, data binary")
     found = written(dealt(sent).mapInArrow(_shared(percent), FOUND), "routes")
     members = found.where("kind = 0").select("id", F.col("value").alias("doc_id"), "size", "text_sha", "again")
     # The text of a class is that of its member with the smallest id.

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.exchange import cuts, dealt, pack, shard_count, unpack
+from folioscan.llm.exchange import block_bytes, cuts, dealt, pack, shard_count, unpack
 from folioscan.llm.textblocks import Words, blocks, column, grams, inside, starts_of, within
 
 NO_ID = -(2**63)
@@ -66,7 +66,7 @@ def _places(ids: np.ndarray, sha: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(new, np.arange(len(ids)), 0))
 
 
-def _send(window: int, k: int, shards: int):
+def _send(window: int, k: int, shards: int, limit: int):
     span = window - k + 1
 
     def block(table: pa.Table) -> pa.RecordBatch:
@@ -124,7 +124,7 @@ def _send(window: int, k: int, shards: int):
         return pa.record_batch([pa.array(shard, pa.int32()), pa.array(blob, pa.binary())], ["shard", "data"])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in blocks(batches, BLOCK_BYTES):
+        for table in blocks(batches, limit):
             yield block(table)
 
     return send
@@ -191,7 +191,7 @@ def repeats(docs: DataFrame, window: int = 20, k: int = 8) -> DataFrame:
     if not 0 < k <= window <= 256:
         raise ValueError("0 < k <= window <= 256")
     shards = shard_count(docs.sparkSession)
-    sent = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_sha")).mapInArrow(_send(window, k, shards), "shard int, data binary")
+    sent = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_sha")).mapInArrow(_send(window, k, shards, block_bytes(docs.sparkSession, BLOCK_BYTES)), "shard int, data binary")
     return dealt(sent).mapInArrow(_settle(window), "doc_id long, text_sha long, first int, end int")
 
 
