@@ -112,10 +112,22 @@ def short_token_rate(spark, sf):
     return rows.groupBy("doc_id", "n_tokens").agg(F.avg(short.cast("double")).alias("short_rate"))
 
 
-@query()
+@query(rf"""{PG}, cc as (select *, length(replace(text, chr(10), '')) chars from pg),
+pt as (select book_id, count(*) page_count, count(*) filter (chars > 20) text_pages, median(chars) median_chars from cc group by 1),
+tp as (select *, count(*) over (partition by book_id) n, row_number() over (partition by book_id order by pdf_index) - 1 k from cc where chars > 20),
+q as (select book_id, text, list_filter(regexp_extract_all(text, '[\p{{L}}\p{{N}}\p{{M}}_''-]+'), lambda x: regexp_matches(x, '\p{{L}}')) t from tp where k >= n // 4 and k < n // 4 + 25),
+s as (select book_id, sum(length(text)) chars, sum(length(text) - length(replace(text, '�', ''))) broken, sum(len(regexp_extract_all(text, '[\p{{Cc}}\p{{Cf}}\p{{Co}}]')) - len(regexp_extract_all(text, '[\n\t]'))) odd, sum(len(regexp_extract_all(text, '\p{{L}}'))) letters from q group by 1),
+w as (select book_id, avg(length(x)) m, avg((length(x) <= 2 and not list_contains(string_split('{" ".join(TL.SHORT_WORDS)}', ' '), lower(x)))::int) r from (select book_id, unnest(t) x from q) group by 1),
+fo as (select source book_id, count(distinct lang) filter (length(source) = 4 and lang <> '') embedded from documents group by 1),
+al as (select pt.*, text_pages / page_count text_ratio, broken / greatest(chars, 1) replacement_char_rate, odd / greatest(chars, 1) nonprintable_rate, letters / greatest(chars, 1) letter_ratio, case when chars is not null then coalesce(m, 0) end mean_token_length, case when chars is not null then coalesce(r, 0) end short_token_rate, embedded
+  from pt left join s using (book_id) left join w using (book_id) left join fo using (book_id)),
+fl as (select *, list_filter([case when replacement_char_rate > 0.005 then 'replacement characters' end, case when nonprintable_rate > 0.01 then 'unprintable characters' end, case when letter_ratio < 0.5 then 'few letters' end, case when short_token_rate > 0.35 then 'shredded words' end, case when mean_token_length < 3 then 'short words' end, case when embedded = 0 then 'no embedded font' end, case when text_ratio < 0.6 then 'many pages without text' end], lambda x: x is not null) f from al)
+select book_id, page_count, text_pages, median_chars, text_ratio, replacement_char_rate, nonprintable_rate, letter_ratio, mean_token_length, short_token_rate, cast(null as double) dictionary_hit_rate, case when text_ratio < 0.05 then 'absent' when len(f) >= 2 then 'bad' when len(f) = 1 then 'suspect' else 'native' end verdict, case when text_ratio < 0.05 then ['no text'] else f end reasons from fl""")
 def text_verdict(spark, sf):
+    """Languages stand for fonts, which come with the sources of one digit only."""
     pages = D.pages(spark, sf).withColumn("char_count", F.length(F.regexp_replace("text", "\n", "")).cast("long"))
-    return TL.verdicts(pages)
+    fonts = D.table(spark, sf, "documents").select(F.col("source").alias("book_id"), F.col("lang").alias("font"), (F.length("source") == 4).alias("embedded"))
+    return TL.verdicts(pages, TL.embedded_fonts(fonts))
 
 
 @query("""select case when strlen(coalesce(text, '')) / 3.0 <= 300 then 300 when ceil(strlen(text) / 3.0) <= 600 then 600 when ceil(strlen(text) / 3.0) <= 900 then 900 when ceil(strlen(text) / 3.0) <= 1200 then 1200 else 9999 end bucket,
