@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.llm.exchange import block_bytes, cuts, dealt, pack, shard_count, unpack
-from folioscan.llm.textblocks import Words, blocks, column, grams, inside, starts_of, within
+from folioscan.llm.textblocks import Words, blocks, column, grams, inside, mix, starts_of, within
 
 NO_ID = -(2**63)
 #: Bytes of text that a task holds as one block.
@@ -104,7 +104,7 @@ def _send(window: int, k: int, shards: int, limit: int):
         kept = np.flatnonzero(sent)
         if len(kept):
             place, first, size = np.unique(anchor[kept], return_index=True, return_counts=True)
-            key = gram[place]
+            key = mix(gram[place])  # anchors are small hashes, and shards are slices of all
             by = np.argsort(key, kind="stable")
             own_doc = doc[kept[first]]
             # A window may be missing from an anchor's run, so each is sent with its offset.
