@@ -474,7 +474,13 @@ def verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, percen
     members = pairs.join(chunks, "a").select(F.col("b").alias("id"), F.col("a").alias("centre"), F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("role"))
     centres = chunks.select(F.col("a").alias("id"), F.col("a").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("role"))
     sends = members.unionByName(centres).join(classes.select("id", "none", "first_doc", "text_sha"), "id")
-    texts = _texts(docs).join(sends, ["first_doc", "text_sha", "none"]).select("id", "centre", "chunk", "role", "text")
+    sends = written(sends, "sends")
+    # Texts that no pair needs stay where they are, if those that are needed can be told to every task.
+    wanted = sends.select("text_sha").distinct()
+    own = _texts(docs)
+    if wanted.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        own = own.join(F.broadcast(wanted), "text_sha", "left_semi")
+    texts = own.join(sends, ["first_doc", "text_sha", "none"]).select("id", "centre", "chunk", "role", "text")
     return texts.repartition("centre", "chunk").sortWithinPartitions("centre", "chunk", "role").mapInArrow(_verified(n, percent), "a long, b long")
 
 
