@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 from folioscan.llm.textblocks import blocks, column, starts_of, utf8, within
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 3 << 20
 #: Units that a worker remembers between blocks.
-MOST_KNOWN = 300_000
+MOST_KNOWN = 150_000
 #: Fixed value: punctuation that begins a new piece behind a letter.
 PUNCTUATION = ",.;:!?*#%&$"
 #: First bytes of UTF-8 characters some of which are spaces; units are not cut before them.
