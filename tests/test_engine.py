@@ -65,6 +65,17 @@ def test_contents_of_all_customers(spark, tmp_path):
     assert {k: sorted(v) for k, v in located.items()} == {"n0": [33, 33, 34], "n1": [20, 21], "n2": [8]}
 
 
+def test_scores_are_rounded_as_their_sql_does(spark, tmp_path):
+    """0.285 is less than its decimal, so that its half is not one; Spark's own rounding goes by the decimal."""
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(k, k // 40, 5000.0 * k, "1-URGENT") for k in range(1, 400)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double, o_orderpriority string").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    db = duckdb.connect()
+    db.execute(f"create view orders as from '{tmp_path}/orders.parquet/*.parquet'")
+    wanted = sorted(map(tuple, db.execute(registry.ORACLE_SQL["distinct_page_topk"]).fetchall()))
+    assert sorted(map(tuple, registry.QUERIES["distinct_page_topk"](spark, str(tmp_path)).collect())) == wanted
+
+
 def test_streamed_postings(spark, tmp_path):
     from tests.test_retrieval import demo
     from folioscan.operators import ingest
