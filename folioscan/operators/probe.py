@@ -7,19 +7,21 @@ from pyspark.sql import functions as F
 
 from folioscan.operators import layout, outline as O, pagemap, profiles as P, textlayer, toc as TOC
 from folioscan.operators.ingest import page_texts
+from folioscan.operators.search import small
+from folioscan.sources.staging import staged
 
 
 def probe(lines: DataFrame, page_counts: DataFrame, outline: DataFrame, images: DataFrame | None = None, fonts: DataFrame | None = None, profiles: DataFrame | None = None, route: str | None = None) -> DataFrame:
     """One nested row per book. The page map is measured before repeated lines are removed, since folios repeat too;
-    tables of contents are asked only where no numbers were printed. ``lines`` are read several times: cache them."""
-    texts = page_texts(lines)
-    pages = texts.withColumn("char_count", F.length(F.regexp_replace("text", "\n", "")))
-    layer = textlayer.verdicts(pages, fonts)
+    tables of contents are asked only where no numbers were printed. ``lines`` are read several times: cache them.
+    What is small and used several times is staged: sizes of pages, runs, repeated lines and entries of contents."""
+    pages = staged(lines.groupBy("book_id", "pdf_index").agg(F.sum(F.length(F.regexp_replace("text", "\n", ""))).alias("char_count")), "pages")
+    layer = textlayer.verdicts(pages, fonts, lines=lines)
     entries = O.outline_report(outline, page_counts)
-    runs = pagemap.offset_runs(pagemap.chosen_offsets(pagemap.offset_votes(lines)))
+    runs = staged(pagemap.offset_runs(pagemap.chosen_offsets(pagemap.offset_votes(lines))), "runs")
     maps = pagemap.page_map(runs, page_counts)
-    masks = layout.boilerplate(lines, page_counts)
-    toc = TOC.toc_entries(lines, masks, page_counts)
+    masks = small(staged(layout.boilerplate(lines, page_counts), "masks"))
+    toc = staged(TOC.toc_entries(lines, masks, page_counts), "toc")
     toc_maps = TOC.toc_page_map(TOC.located_titles(toc, lines, page_counts), page_counts)
     maps = TOC.with_toc_maps(maps, toc_maps)
     found = pagemap.used_runs(runs, maps).unionByName(toc_maps.select("book_id", F.lit("toc").alias("kind"), "pdf_start", "pdf_end", "page_offset", F.col("matched").alias("measured")))
@@ -34,7 +36,7 @@ def probe(lines: DataFrame, page_counts: DataFrame, outline: DataFrame, images:
     out = page_counts
     for df, name in ((layer.drop("page_count"), "text_layer"), (entries, "outline"), (maps.drop("page_count"), "page_map"), (columns, "columns"), (pictures, "images"), (TOC.toc_report(toc), "toc")):
         out = out.join(nest(df, name), "book_id", "left")
-    out = out.join(spans, "book_id", "left").join(patterns, "book_id", "left").join(textlayer.fingerprints(texts).drop("pdf_index"), "book_id", "left")
+    out = out.join(spans, "book_id", "left").join(patterns, "book_id", "left").join(textlayer.fingerprints(page_texts(lines)).drop("pdf_index"), "book_id", "left")
     choice = textlayer.routes(out.select("book_id", "text_layer.verdict", "outline.usable", "images.heavy"))
     out = out.join(choice, "book_id")
     if profiles is not None:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscan.functions import text as T
+from folioscan.operators.search import small
 
 LEAST_PAIRS, LEAST_DENSITY, SEARCH = 8, 0.55, 0.12
 
@@ -43,7 +44,7 @@ def located_titles(entries: DataFrame, lines: DataFrame, page_counts: DataFrame)
     """
     wanted = entries.select("book_id", F.col("pdf_index").alias("toc_index"), "line_no", "place", "page", T.mask_line(F.col("title")).alias("title")).where(F.length("title") >= 4).withColumn("head", F.substring("title", 1, 4))
     later = lines.join(page_counts, "book_id").where(F.col("pdf_index") >= front(F.col("page_count"))).select("book_id", "pdf_index", T.mask_line(F.col("text")).alias("masked"))
-    later = later.distinct().withColumn("head", F.substring("masked", 1, 4))
+    later = later.withColumn("head", F.substring("masked", 1, 4)).join(small(wanted.select("book_id", "head").distinct()), ["book_id", "head"], "left_semi").distinct()
     met = wanted.join(later, ["book_id", "head"]).where((F.col("pdf_index") > F.col("toc_index")) & ((F.col("masked") == F.col("title")) | ((F.length("title") >= 8) & F.startswith("masked", F.col("title")))))
     return met.groupBy("book_id", "toc_index", "line_no", "place", "page").agg(F.min("pdf_index").alias("pdf_index"))
 
