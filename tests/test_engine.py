@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from folioscan.operators import grounding as G
 from folioscan.operators import textlayer
-from folioscan.plans import cli, registry
+from folioscan.plans import cli, registry, tables
 from folioscan.streaming import index_stream
 
 HERE = Path(__file__).resolve().parent.parent
@@ -76,6 +76,22 @@ def test_scores_are_rounded_as_their_sql_does(spark, tmp_path):
     assert sorted(map(tuple, registry.QUERIES["distinct_page_topk"](spark, str(tmp_path)).collect())) == wanted
 
 
+def test_pages_of_a_large_book_are_numbered_by_several_tasks(spark, tmp_path):
+    rows = [((k * 7919 % 1000 - 500) * 10**12, "t", "en", None if k % 10 == 0 else "s") for k in range(1000)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = tables.pages(spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    for source in ("s", None):
+        ids = sorted(r[0] for r in rows if r[3] == source)
+        assert sorted((r["pdf_index"], r["doc_id"]) for r in got if r["book_id"] == source) == list(enumerate(ids))
+    tasks = [r["task"] for r in got if r["book_id"] == "s"]
+    assert max(map(tasks.count, set(tasks))) < 600
+
+
 def test_streamed_postings(spark, tmp_path):
     from tests.test_retrieval import demo
     from folioscan.operators import ingest
